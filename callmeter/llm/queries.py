@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import bpe, langid, packing, toxicity
 
 QUERIES = {
+    "op1_toxicity_nnpu": toxicity.op1_toxicity_nnpu,
+    "op7_language_bitmask": langid.op7_language_bitmask,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
+    "op10_bpe_chunk_reuse": bpe.op10_bpe_chunk_reuse,
 }
 
 SQL: dict[str, str] = {}
