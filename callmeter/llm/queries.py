@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, toxicity
+from . import bpe, fingerprints, langid, packing, pii, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity_nnpu": toxicity.op1_toxicity_nnpu,
+    "op2_one_permutation_minhash": fingerprints.op2_one_permutation_minhash,
+    "op5_semi_markov_pii": pii.op5_semi_markov_pii,
     "op7_language_bitmask": langid.op7_language_bitmask,
+    "op8_blob_ledger": secrets.op8_blob_ledger,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
     "op10_bpe_chunk_reuse": bpe.op10_bpe_chunk_reuse,
 }
