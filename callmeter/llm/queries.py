@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, langid, packing, pii, secrets, toxicity
+from . import bpe, fingerprints, jaccard, langid, lmscore, packing, pii, secrets, toxicity, vectors
 
 QUERIES = {
     "op1_toxicity_nnpu": toxicity.op1_toxicity_nnpu,
     "op2_one_permutation_minhash": fingerprints.op2_one_permutation_minhash,
+    "op3_jaccard_partition": jaccard.op3_jaccard_partition,
+    "op4_cross_entropy_difference": lmscore.op4_cross_entropy_difference,
     "op5_semi_markov_pii": pii.op5_semi_markov_pii,
+    "op6_cover_tree": vectors.op6_cover_tree,
     "op7_language_bitmask": langid.op7_language_bitmask,
     "op8_blob_ledger": secrets.op8_blob_ledger,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
