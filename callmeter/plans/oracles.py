@@ -217,5 +217,7 @@ UNION ALL SELECT 'events', NULL, count(*), sum(input_tokens)::BIGINT, sum(output
     "dup_start": on_log(_INTEGRITY + "kind = 'start' AND was = 'start'", True),
     "orphan_end": on_log(_INTEGRITY + "kind = 'end' AND (was IS NULL OR was = 'end')", True),
     "field_mismatch": on_log(_INTEGRITY + "kind = 'end' AND was = 'start' AND (turn <> was_turn OR step <> was_step OR provider <> was_provider OR model <> was_model)", True),
+    "stream_integrity": on_log(_INTEGRITY.replace("SELECT session_id, seq, attempt_id, turn, step FROM att WHERE ", """SELECT session_id, seq, attempt_id, fault FROM (SELECT *, CASE WHEN kind = 'start' THEN CASE WHEN was = 'start' THEN 'dup_start' END WHEN was IS NULL OR was = 'end' THEN 'orphan_end'
+  WHEN turn <> was_turn OR step <> was_step OR provider <> was_provider OR model <> was_model THEN 'field_mismatch' END AS fault FROM att) WHERE fault IS NOT NULL"""), True),
     "open_at_end": on_log(_INTEGRITY + "kind = 'start' AND nxt IS NULL", True),
 }

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import fold, integrity, panel, snapshot
-from ..schema import CALL_KEY, USAGE
+from ..schema import CALL_KEY, LOG, USAGE
 from ..sources import adapter, store
+from ..streaming import calls as stream
 from .requests import resolve_request
 
 #: The snapshots' fixed present, zone and range.
@@ -454,3 +455,36 @@ def field_mismatch(spark, d):
 @query
 def open_at_end(spark, d):
     return integrity.open_at_end(log(spark, d, dirty=True)).select(*_FAULT)
+
+
+# ---- streams: the log arrives in three parts, each session's events in order ----
+
+
+def arriving(spark: SparkSession, rows: DataFrame, parts: int = 3) -> DataFrame:
+    """A stream that delivers a log in `parts` micro-batches. The parts share the seqs of every session evenly."""
+    path = scratch(spark)
+    last = F.max("seq").over(W.partitionBy("session_id", "created_at"))
+    rows = rows.withColumn("part", F.least(F.lit(parts - 1), F.floor(F.col("seq") * parts / (last + 1)))).persist()
+    for i in range(parts):
+        rows.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(path)
+    rows.unpersist()
+    return spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query
+def stream_calls(spark, d):
+    stream.use_rocksdb(spark)
+    path = scratch(spark)
+    changed = stream.stream_calls(arriving(spark, log(spark, d)), headers(spark, d))
+    running = stream.write_calls(changed, path, scratch(spark), availableNow=True)
+    running.awaitTermination()
+    return flat(store.scan_calls(spark, path))
+
+
+@query
+def stream_integrity(spark, d):
+    stream.use_rocksdb(spark)
+    path = scratch(spark)
+    faults = stream.stream_integrity(arriving(spark, log(spark, d, dirty=True)))
+    faults.writeStream.outputMode("append").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).format("parquet").start(path).awaitTermination()
+    return spark.read.parquet(path).select("session_id", "seq", "attempt_id", "fault")
