@@ -15,6 +15,8 @@ from .langid import blocks, held_out
 
 PREFIXES = (4, 5, 6)
 BITS = 22
+#: A feature that occurs this often is further features: it is XORed with the constant.
+OFTEN = ((2, 0x155555), (4, 0x2AAAAA))
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -40,6 +42,12 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(owner)
 
 
+def counted(f: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Sorted distinct (text << BITS | feature), with the features for what occurs twice or more often in a text."""
+    pair, n = np.unique(of << BITS | f, return_counts=True)
+    return np.unique(np.concatenate([pair, *(pair[n >= k] ^ x for k, x in OFTEN)]))
+
+
 @dataclass
 class Model:
     """A logistic classifier of which features occur. slot: 1 + index of a feature's weight, 0 for features not used."""
@@ -48,21 +56,45 @@ class Model:
     weight: np.ndarray
     bias: float
 
+    def __post_init__(self):
+        used = self.slot > 0
+        every = np.arange(len(used))
+        self.wanted = used | np.logical_or.reduce([used[every ^ x] for _, x in OFTEN])
+
     def score(self, texts: list[str]) -> np.ndarray:
         f, of = features(texts)
-        s = self.slot[f]
-        used = np.flatnonzero(s)
-        pair = np.unique(of[used] * (len(self.weight) + 1) + s[used])
-        k = len(self.weight) + 1
-        total = np.bincount(pair // k, self.weight[pair % k - 1], len(texts)) + self.bias
+        use = self.wanted[f]
+        pair = counted(f[use], of[use])
+        s = self.slot[pair & ((1 << BITS) - 1)]
+        total = np.bincount((pair >> BITS)[s > 0], self.weight[s[s > 0] - 1], len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
+def _cover(positive: list[np.ndarray], chosen: np.ndarray, lift: np.ndarray, times: int = 3) -> np.ndarray:
+    """Which of the chosen features to keep: in turn the one that adds most, its lift times the positives it covers that
+    fewer than `times` features cover so far. Words that merely stand in copies of some positive add nothing."""
+    index = np.full(1 << BITS, -1)
+    index[chosen] = np.arange(len(chosen))
+    col = [index[r][index[r] >= 0] for r in positive]
+    row = np.repeat(np.arange(len(positive)), [len(c) for c in col])
+    col = np.concatenate(col) if col else np.zeros(0, int)
+    covered, free, kept = np.zeros(len(positive), int), np.ones(len(chosen), bool), []
+    while free.any():
+        gain = np.bincount(col[covered[row] < times], minlength=len(chosen)) * free
+        best = int(np.argmax(gain * lift))
+        if gain[best] < max(3, 0.002 * len(positive)):
+            break
+        kept.append(best)
+        free[best] = False
+        covered[row[col == best]] += 1
+    return np.array(sorted(kept), int)
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = 4096, steps: int = 1500, rate: float = 0.05, decay: float = 1e-5) -> Model:
     """Fits the non-negative risk  prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)])  with the logistic loss.
 
     positive, unlabelled: the distinct features of each text. Features are those that the positives have at least 3
-    times as often as the unlabelled texts do, by 6 standard errors or more, and `most` of them. Where the negative part of the risk falls
+    times as often as the unlabelled texts do, by 6 standard errors or more, `most` at most, and of those a cover. Where the negative part of the risk falls
     below zero, the step goes up that part's gradient instead, as the method has it.
     """
     slot = np.zeros(1 << BITS, np.int32)
@@ -75,6 +107,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     z = (pp - pu) / np.sqrt(pu * (1 + 1e-9 - np.minimum(pu, 1)) / np_ + 1e-12)
     chosen = np.flatnonzero((in_p >= 3) & (pp >= 3 * pu) & (z >= 6))
     chosen = chosen[np.argsort(-z[chosen], kind="stable")[:most]]
+    chosen = chosen[_cover(positive, chosen, pp[chosen] / pu[chosen])]
     slot[chosen] = np.arange(1, len(chosen) + 1)
 
     def sparse(rows):
@@ -124,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabe
         for batch in batches:
             for lo, hi, some in blocks(batch, 1):
                 f, of = features(some)
-                pair = np.unique(of << BITS | f)
+                pair = counted(f, of)
                 cut = np.searchsorted(pair, np.arange(len(some) + 1) << BITS)
                 values = (pair & ((1 << BITS) - 1)).astype(np.int32)
                 part = batch.slice(lo, hi - lo)
