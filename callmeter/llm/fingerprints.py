@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-BINS = 128
+BINS = 256
 LOW_BITS = 8
 WORDS = 5
 TRIES = 24
@@ -68,7 +68,11 @@ def likeness(a: Column, b: Column, bins: int = BINS, bits: int = LOW_BITS) -> Co
     """Estimated Jaccard similarity of two fingerprints: the share of equal bins less what chance alone would make equal
     (2**-bits), rescaled and held within 0 and 1. Two empty texts are alike (1), an empty and another are not (0)."""
     digits = bits // 4
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(bins - 1)), F.lit(0), lambda acc, i: acc + (F.substr(a, i * digits + 1, F.lit(digits)) == F.substr(b, i * digits + 1, F.lit(digits))).cast("int"))
+
+    def code(x: Column, i: Column) -> Column:
+        return F.substr(x.cast("binary"), i * digits + 1, F.lit(digits))
+
+    same = F.aggregate(F.sequence(F.lit(0), F.lit(bins - 1)), F.lit(0), lambda acc, i: acc + (code(a, i) == code(b, i)).cast("int"))
     chance = 2.0**-bits
     estimate = F.greatest(F.lit(0.0), (same / float(bins) - chance) / (1 - chance))
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(estimate)
