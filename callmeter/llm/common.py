@@ -106,6 +106,28 @@ def shingles(text: str, n: int) -> np.ndarray:
 # ---- classes of linked nodes ----
 
 
+class Forest:
+    """Joins points 0..n-1 and keeps the joins that mattered: edges that span the classes, fewer than n."""
+
+    def __init__(self, n: int):
+        self.root, self.edges = np.arange(n), []
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return int(x)
+
+    def join(self, x: int, others: np.ndarray) -> None:
+        """Joins x with each of the others; of those known to be together, with one."""
+        for y in others[np.unique(self.root[others], return_index=True)[1]]:
+            r, s = self.find(x), self.find(y)
+            if r != s:
+                self.root[max(r, s)] = min(r, s)
+                self.edges.append((int(x), int(y)))
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b), root the smallest node reachable.
 
