@@ -57,9 +57,10 @@ class Model:
     bias: float
 
     def __post_init__(self):
-        used = self.slot > 0
-        every = np.arange(len(used))
-        self.wanted = used | np.logical_or.reduce([used[every ^ x] for _, x in OFTEN])
+        used = np.flatnonzero(self.slot)
+        self.wanted = np.zeros(len(self.slot), bool)
+        for x in (0, *(x for _, x in OFTEN)):
+            self.wanted[used ^ x] = True
 
     def score(self, texts: list[str]) -> np.ndarray:
         f, of = features(texts)
@@ -73,7 +74,7 @@ class Model:
 def _cover(positive: list[np.ndarray], chosen: np.ndarray, lift: np.ndarray, times: int = 3) -> np.ndarray:
     """Which of the chosen features to keep: in turn the one that adds most, its lift times the positives it covers that
     fewer than `times` features cover so far. Words that merely stand in copies of some positive add nothing."""
-    index = np.full(1 << BITS, -1)
+    index = np.full(1 << BITS, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
     col = [index[r][index[r] >= 0] for r in positive]
     row = np.repeat(np.arange(len(positive)), [len(c) for c in col])
@@ -102,12 +103,13 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         return Model(slot, np.zeros(0), -6.0)
     np_, nu = len(positive), len(unlabelled)
     in_p = np.bincount(np.concatenate(positive), minlength=1 << BITS)
-    in_u = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS)
-    pp, pu = in_p / np_, (in_u + 0.5) / nu
+    chosen = np.flatnonzero(in_p >= 3)
+    in_u = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS)[chosen]
+    pp, pu = in_p[chosen] / np_, (in_u + 0.5) / nu
     z = (pp - pu) / np.sqrt(pu * (1 + 1e-9 - np.minimum(pu, 1)) / np_ + 1e-12)
-    chosen = np.flatnonzero((in_p >= 3) & (pp >= 3 * pu) & (z >= 6))
-    chosen = chosen[np.argsort(-z[chosen], kind="stable")[:most]]
-    chosen = chosen[_cover(positive, chosen, pp[chosen] / pu[chosen])]
+    good = np.flatnonzero((pp >= 3 * pu) & (z >= 6))
+    good = good[np.argsort(-z[good], kind="stable")[:most]]
+    chosen = chosen[good][_cover(positive, chosen[good], (pp / pu)[good])]
     slot[chosen] = np.arange(1, len(chosen) + 1)
 
     def sparse(rows):
@@ -150,22 +152,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabe
     ids = texts.select("doc_id").distinct()
     positive = ids.join(marks.where("toxic = 1"), "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_positive)
     unlabelled = ids.orderBy(order, "doc_id").limit(max_unlabelled)
-    chosen = positive.withColumn("p", F.lit(1)).unionByName(unlabelled.withColumn("p", F.lit(0))).groupBy("doc_id").agg(F.max("p").alias("p"), F.min("p").alias("u"))
-    chosen = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # at most max_positive + max_unlabelled rows
-
-    def extract(batches):
-        for batch in batches:
-            for lo, hi, some in blocks(batch, 1):
-                f, of = features(some)
-                pair = counted(f, of)
-                cut = np.searchsorted(pair, np.arange(len(some) + 1) << BITS)
-                values = (pair & ((1 << BITS) - 1)).astype(np.int32)
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(cut.astype(np.int32), pa.array(values)), part.column(2), part.column(3)], names=["doc_id", "f", "p", "u"])
-
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "p", "u").mapInArrow(extract, "doc_id long, f array<int>, p int, u int").toArrow().sort_by("doc_id")
-    f, p, u = [np.asarray(x.as_py(), np.int64) for x in rows.column("f")], rows.column("p").to_pylist(), rows.column("u").to_pylist()
-    return train([x for x, y in zip(f, p) if y == 1], [x for x, y in zip(f, u) if y == 0], prior)
+    spark = docs.sparkSession
+
+    def extracted(ids: DataFrame, wanted: np.ndarray | None) -> list[np.ndarray]:
+        """The features, all or those wanted, of the documents with these ids, of which there are as many as a sample has."""
+        some = F.broadcast(spark.createDataFrame(ids.collect(), ids.schema))
+        shared = spark.sparkContext.broadcast(wanted)
+
+        def run(batches):
+            for batch in batches:
+                for lo, hi, text in blocks(batch, 1):
+                    pair = counted(*features(text))
+                    f = pair & ((1 << BITS) - 1)
+                    if shared.value is not None:
+                        pair, f = pair[shared.value[f]], f[shared.value[f]]
+                    cut = np.searchsorted(pair, np.arange(len(text) + 1) << BITS)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(cut.astype(np.int32), pa.array(f.astype(np.int32)))], names=["doc_id", "f"])
+
+        rows = texts.join(some, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, f array<int>").toArrow().sort_by("doc_id")
+        f = rows.column("f").combine_chunks()
+        values, cut = f.flatten().to_numpy(), np.concatenate([[0], np.cumsum(f.value_lengths().to_numpy())]) if len(f) else np.zeros(1, int)
+        return [values[a:b] for a, b in zip(cut, cut[1:])]
+
+    p = extracted(positive, None)
+    often = np.bincount(np.concatenate(p), minlength=1 << BITS) >= 3 if p else np.zeros(1 << BITS, bool)
+    return train(p, extracted(unlabelled, often), prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
