@@ -62,12 +62,17 @@ def annotate(live: DataFrame) -> DataFrame:
     return e.drop("earlier", "won")
 
 
-def mark_retries(events: DataFrame) -> DataFrame:
-    """(session_id, created_at, attempt_id) of annotated events' calls marked as retried: a retry marks the step's
-    failed or aborted call that started last and isn't marked yet (ties: whose start came last)."""
+def retry_marks(events: DataFrame) -> DataFrame:
+    """Annotated events with `retried` on starts: whether a retry marked the call. A retry marks the step's failed or
+    aborted call that started last and isn't marked yet (ties: whose start came last).
+
+    A step's few ends and retries are gathered beside its starts by a window that needs no shuffle or sort of its own,
+    and replayed there.
+    """
     failed = F.col("outcome").isin("failure", "aborted")
-    e = events.where("valid_end or kind = 'retry'").select(*STEP, F.struct("seq", F.when(F.col("kind") == "retry", "r").when(failed, "f").otherwise("s").alias("op"), F.struct(F.col("first_start.started_at").alias("at"), F.col("first_start.seq").alias("seq"), F.col("attempt_id").alias("id")).alias("call")).alias("e"))
-    ordered = e.groupBy(*STEP).agg(F.array_sort(F.collect_list("e")).alias("es"))
+    op = F.when(F.col("kind") == "retry", "r").when(failed, "f").otherwise("s")
+    entry = F.struct("seq", op.alias("op"), F.struct(F.col("first_start.started_at").alias("at"), F.col("first_start.seq").alias("seq"), F.col("attempt_id").alias("id")).alias("call"))
+    ops = F.collect_list(F.when(F.col("valid_end") | (F.col("kind") == "retry"), entry)).over(W.partitionBy(*STEP))
     call = "struct<at:bigint,seq:bigint,id:string>"
     start = F.struct(F.array().cast(f"array<{call}>").alias("open"), F.array().cast("array<string>").alias("marked"))
 
@@ -79,7 +84,13 @@ def mark_retries(events: DataFrame) -> DataFrame:
         open_ = F.when(e["op"] == "f", add).when(e["op"] == "s", others).when(retry, F.filter(s["open"], lambda c: c["id"] != last["id"])).otherwise(s["open"])
         return F.struct(open_.alias("open"), F.when(retry, F.concat(s["marked"], F.array(last["id"]))).otherwise(s["marked"]).alias("marked"))
 
-    return ordered.select("session_id", "created_at", F.explode(F.aggregate("es", start, step, lambda s: s["marked"])).alias("attempt_id"))
+    marked = F.aggregate(F.array_sort("ops"), start, step, lambda s: s["marked"])
+    return events.withColumn("ops", ops).withColumn("retried", F.when(F.col("kind") == "start", F.array_contains(marked, F.col("attempt_id")))).drop("ops")
+
+
+def mark_retries(events: DataFrame) -> DataFrame:
+    """(session_id, created_at, attempt_id) of annotated events' calls marked as retried."""
+    return retry_marks(events).where("retried").select("session_id", "created_at", "attempt_id").distinct()
 
 
 def fold_calls(events: DataFrame) -> DataFrame:
@@ -90,28 +101,26 @@ def fold_calls(events: DataFrame) -> DataFrame:
     kind = F.col("kind")
     is_start, legacy = kind == "start", F.col("legacy").isNotNull()
     target = F.when(is_start | F.col("valid_end"), F.col("attempt_id")).when(kind == "chunk", F.col("active")).when(kind == "message", F.coalesce("legacy", "successful"))
-    e = events.withColumn("call", target).withColumn("usage", usage()).where("call is not null")
+    e = retry_marks(events).withColumn("call", target).withColumn("usage", usage()).where("call is not null")
     opened = F.when(is_start, F.struct("turn", "step", "provider", "model", "started_at", F.lit(None).cast("string").alias("outcome")))
     made = F.when(legacy, F.struct("turn", "step", F.col("route_provider").alias("provider"), F.col("route_model").alias("model"), F.col("event_time").alias("started_at"), F.lit("success").alias("outcome")))
     calls = e.groupBy("session_id", "created_at", "workspace", F.col("call").alias("attempt_id")).agg(
         F.min_by(F.coalesce(opened, made), F.when(is_start | legacy, F.col("seq"))).alias("first"),
         F.max_by("outcome", F.when(F.col("valid_end"), F.col("seq"))).alias("ended"),
+        F.coalesce(F.max("retried"), F.lit(False)).alias("retry_scheduled"),
         F.max_by("usage", F.when((kind == "chunk") & F.col("usage").isNotNull(), F.col("seq"))).alias("provisional_usage"),
         F.max_by("usage", F.when((kind == "message") & F.col("usage").isNotNull(), F.col("seq"))).alias("final_usage"),
         F.max("seq").alias("last_seq"),
     ).where("first is not null")
     return calls.select(
         "session_id", "created_at", "workspace", utc_day("first.started_at").alias("day"), "attempt_id", "first.turn", "first.step", "first.provider", "first.model", "first.started_at",
-        F.coalesce("ended", "first.outcome").alias("outcome"), "provisional_usage", "final_usage", "last_seq",
+        F.coalesce("ended", "first.outcome").alias("outcome"), "retry_scheduled", "provisional_usage", "final_usage", "last_seq",
     )
 
 
 def build_calls(log: DataFrame, headers: DataFrame) -> DataFrame:
     """The calls of a log (schema.CALLS, and last_seq): a function of the log alone, whatever was stored before."""
-    events = annotate(live_events(log, headers))
-    marked = mark_retries(events).withColumn("retry_scheduled", F.lit(True))
-    calls = fold_calls(events).join(marked, ["session_id", "created_at", "attempt_id"], "left")
-    return calls.withColumn("retry_scheduled", F.coalesce("retry_scheduled", F.lit(False)))
+    return fold_calls(annotate(live_events(log, headers)))
 
 
 def touched_sessions(log: DataFrame, cursor: DataFrame) -> DataFrame:

@@ -40,10 +40,12 @@ def scan_calls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_calls(rows: DataFrame, *order: str) -> DataFrame:
-    """Of each call key the last row in order; rows are first reduced where they are."""
-    kept = [c for c in rows.columns if c not in (*CALL_KEY, *order)]
-    last = rows.groupBy(*CALL_KEY).agg(F.max_by(F.struct(*kept), F.struct(*order)).alias("r"))
-    return last.select(*CALL_KEY, "r.*")
+    """Of each call key the last row in order; rows are first reduced where they are. A call's day never changes, so it
+    is a key as well: filters on it reach the scan and prune its partitions."""
+    key = (*CALL_KEY, "day")
+    kept = [c for c in rows.columns if c not in (*key, *order)]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*kept), F.struct(*order)).alias("r"))
+    return last.select(*key, "r.*")
 
 
 def compact_calls(spark: SparkSession, path: str, target: str) -> None:
