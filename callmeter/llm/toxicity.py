@@ -14,9 +14,8 @@ from .common import Bytes, table
 from .langid import blocks, held_out
 
 PREFIXES = (4, 5, 6)
-BITS = 22
-#: A feature that occurs this often is further features: it is XORed with the constant.
-OFTEN = ((2, 0x155555), (4, 0x2AAAAA))
+#: A feature that occurs this often is a further feature: it is XORed with the constant.
+OFTEN = ((2, np.uint64(0x5555555555555555)), (4, np.uint64(0xAAAAAAAAAAAAAAAA)))
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -39,44 +38,64 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         long = end - start > k
         found.append(hashed.slices(start[long], start[long] + k) * np.uint64(2 * k + 1))
         owner.append(of[long])
-    return (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(owner)
+    return np.concatenate(found), np.concatenate(owner)
 
 
-def counted(f: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Sorted distinct (text << BITS | feature), with the features for what occurs twice or more often in a text."""
-    pair, n = np.unique(of << BITS | f, return_counts=True)
-    return np.unique(np.concatenate([pair, *(pair[n >= k] ^ x for k, x in OFTEN)]))
+def counted(f: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct features of each text and the texts, in the texts' order, with those for what occurs repeatedly."""
+    by = np.lexsort((f, of))
+    f, of = f[by], of[by]
+    start = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (of[1:] != of[:-1])])) if len(f) else np.zeros(0, int)
+    n = np.diff(np.append(start, len(f)))
+    f, of = f[start], of[start]
+    every, owner = np.concatenate([f, *(f[n >= k] ^ x for k, x in OFTEN)]), np.concatenate([of, *(of[n >= k] for k, _ in OFTEN)])
+    by = np.argsort(owner, kind="stable")
+    return every[by], owner[by]
+
+
+class Known:
+    """A set of features: positions of those that it holds, -1 for others. A small table of 16-bit ends sorts out most."""
+
+    def __init__(self, features: np.ndarray):
+        self.features = np.sort(features)
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[(self.features & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def find(self, f: np.ndarray) -> np.ndarray:
+        out = np.full(len(f), -1, np.int64)
+        maybe = np.flatnonzero(self.ends[(f & np.uint64(0xFFFF)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.features, f[maybe]), len(self.features) - 1)
+            out[maybe] = np.where(self.features[at] == f[maybe], at, -1)
+        return out
 
 
 @dataclass
 class Model:
-    """A logistic classifier of which features occur. slot: 1 + index of a feature's weight, 0 for features not used."""
+    """A logistic classifier of which features occur: a weight for each of its features, in their order."""
 
-    slot: np.ndarray
+    features: np.ndarray
     weight: np.ndarray
     bias: float
 
     def __post_init__(self):
-        used = np.flatnonzero(self.slot)
-        self.wanted = np.zeros(len(self.slot), bool)
-        for x in (0, *(x for _, x in OFTEN)):
-            self.wanted[used ^ x] = True
+        self.known = Known(self.features)
+        self.base = Known(np.unique(np.concatenate([self.features, *(self.features ^ x for _, x in OFTEN)])))
 
     def score(self, texts: list[str]) -> np.ndarray:
         f, of = features(texts)
-        use = self.wanted[f]
-        pair = counted(f[use], of[use])
-        s = self.slot[pair & ((1 << BITS) - 1)]
-        total = np.bincount((pair >> BITS)[s > 0], self.weight[s[s > 0] - 1], len(texts)) + self.bias
+        use = self.base.find(f) >= 0
+        f, of = counted(f[use], of[use])
+        at = self.known.find(f)
+        total = np.bincount(of[at >= 0], self.weight[at[at >= 0]], len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
 def _cover(positive: list[np.ndarray], chosen: np.ndarray, lift: np.ndarray, times: int = 3) -> np.ndarray:
     """Which of the chosen features to keep: in turn the one that adds most, its lift times the positives it covers that
     fewer than `times` features cover so far. Words that merely stand in copies of some positive add nothing."""
-    index = np.full(1 << BITS, -1, np.int32)
-    index[chosen] = np.arange(len(chosen))
-    col = [index[r][index[r] >= 0] for r in positive]
+    known = Known(chosen)
+    col = [at[at >= 0] for at in map(known.find, positive)]
     row = np.repeat(np.arange(len(positive)), [len(c) for c in col])
     col = np.concatenate(col) if col else np.zeros(0, int)
     covered, free, kept = np.zeros(len(positive), int), np.ones(len(chosen), bool), []
@@ -91,29 +110,39 @@ def _cover(positive: list[np.ndarray], chosen: np.ndarray, lift: np.ndarray, tim
     return np.array(sorted(kept), int)
 
 
+def lifted(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int, most: int = 4096) -> np.ndarray:
+    """Positions of the features that the positives have at least 3 times as often as the unlabelled texts do, by 6
+    standard errors or more; `most` of them at most, the surest."""
+    pp, pu = in_p / max(1, n_p), (in_u + 0.5) / max(1, n_u)
+    z = (pp - pu) / np.sqrt(pu * (1 + 1e-9 - np.minimum(pu, 1)) / max(1, n_p) + 1e-12)
+    good = np.flatnonzero((pp >= 3 * pu) & (z >= 6))
+    return np.sort(good[np.argsort(-z[good], kind="stable")[:most]])
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = 4096, steps: int = 1500, rate: float = 0.05, decay: float = 1e-5) -> Model:
     """Fits the non-negative risk  prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)])  with the logistic loss.
 
-    positive, unlabelled: the distinct features of each text. Features are those that the positives have at least 3
-    times as often as the unlabelled texts do, by 6 standard errors or more, `most` at most, and of those a cover. Where the negative part of the risk falls
+    positive, unlabelled: the distinct features of each text. The model's features are a cover of the lifted ones. Where the negative part of the risk falls
     below zero, the step goes up that part's gradient instead, as the method has it.
     """
-    slot = np.zeros(1 << BITS, np.int32)
     if not positive or not unlabelled or prior <= 0:
-        return Model(slot, np.zeros(0), -6.0)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -6.0)
     np_, nu = len(positive), len(unlabelled)
-    in_p = np.bincount(np.concatenate(positive), minlength=1 << BITS)
-    chosen = np.flatnonzero(in_p >= 3)
-    in_u = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS)[chosen]
-    pp, pu = in_p[chosen] / np_, (in_u + 0.5) / nu
-    z = (pp - pu) / np.sqrt(pu * (1 + 1e-9 - np.minimum(pu, 1)) / np_ + 1e-12)
-    good = np.flatnonzero((pp >= 3 * pu) & (z >= 6))
-    good = good[np.argsort(-z[good], kind="stable")[:most]]
-    chosen = chosen[good][_cover(positive, chosen[good], (pp / pu)[good])]
-    slot[chosen] = np.arange(1, len(chosen) + 1)
+    f, n = np.unique(np.concatenate(positive), return_counts=True)
+    chosen = f[n >= 3]
+    known = Known(chosen)
+
+    def having(texts: list[np.ndarray]) -> np.ndarray:
+        at = known.find(np.concatenate(texts))
+        return np.bincount(at[at >= 0], minlength=len(chosen))
+
+    in_p, in_u = having(positive), having(unlabelled)
+    good = lifted(in_p, np_, in_u, nu, most)
+    chosen = chosen[good][_cover(positive, chosen[good], (in_p / np_ / ((in_u + 0.5) / nu))[good])]
+    known = Known(chosen)
 
     def sparse(rows):
-        idx = [slot[r][slot[r] > 0] - 1 for r in rows]
+        idx = [at[at >= 0] for at in map(known.find, rows)]
         return np.concatenate(idx) if idx else np.zeros(0, int), np.repeat(np.arange(len(rows)), [len(i) for i in idx])
 
     (ip, rp), (iu, ru) = sparse(positive), sparse(unlabelled)
@@ -134,10 +163,10 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:k], b - step[k]
-    return Model(slot, w, float(b))
+    return Model(chosen, w, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 10_000, prior: float | None = None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unlabelled: int = 10_000, prior: float | None = None) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic).
 
     Positives are the documents that a label confirms as toxic; unlabelled are any documents, whatever their label. Of
@@ -154,29 +183,45 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabe
     unlabelled = ids.orderBy(order, "doc_id").limit(max_unlabelled)
     spark = docs.sparkSession
 
-    def extracted(ids: DataFrame, wanted: np.ndarray | None) -> list[np.ndarray]:
-        """The features, all or those wanted, of the documents with these ids, of which there are as many as a sample has."""
+    def extracted(ids: DataFrame, wanted: Known | None) -> DataFrame:
+        """(doc_id, f): the features, all or those wanted, of the documents with these ids, of which there are as many
+        as a sample has."""
         some = F.broadcast(spark.createDataFrame(ids.collect(), ids.schema))
         shared = spark.sparkContext.broadcast(wanted)
 
         def run(batches):
             for batch in batches:
                 for lo, hi, text in blocks(batch, 1):
-                    pair = counted(*features(text))
-                    f = pair & ((1 << BITS) - 1)
+                    f, of = counted(*features(text))
                     if shared.value is not None:
-                        pair, f = pair[shared.value[f]], f[shared.value[f]]
-                    cut = np.searchsorted(pair, np.arange(len(text) + 1) << BITS)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(cut.astype(np.int32), pa.array(f.astype(np.int32)))], names=["doc_id", "f"])
-
-        rows = texts.join(some, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, f array<int>").toArrow().sort_by("doc_id")
-        f = rows.column("f").combine_chunks()
-        values, cut = f.flatten().to_numpy(), np.concatenate([[0], np.cumsum(f.value_lengths().to_numpy())]) if len(f) else np.zeros(1, int)
-        return [values[a:b] for a, b in zip(cut, cut[1:])]
-
-    p = extracted(positive, None)
-    often = np.bincount(np.concatenate(p), minlength=1 << BITS) >= 3 if p else np.zeros(1 << BITS, bool)
-    return train(p, extracted(unlabelled, often), prior)
+                        keep = shared.value.find(f) >= 0
+                        f, of = f[keep], of[keep]
+                    cut = np.searchsorted(of, np.arange(len(text) + 1))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(cut.astype(np.int32), pa.array(f.view(np.int64)))], names=["doc_id", "f"])
+
+        return texts.join(some, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, f array<bigint>")
+
+    def gathered(rows: DataFrame) -> list[np.ndarray]:
+        table = rows.toArrow()
+        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+        f = [x.flatten().to_numpy().view(np.uint64) for x in table.column("f").chunks]
+        ends = [np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())]) for x in table.column("f").chunks]
+        texts = [v[a:b] for v, e in zip(f, ends) for a, b in zip(e, e[1:])]
+        return [texts[i] for i in order]
+
+    def counts(rows: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The features that `least` texts have or more, in order, and how many do."""
+        n = rows.select(F.explode("f").alias("f")).groupBy("f").count().where(F.col("count") >= least).toArrow()
+        f, n = n.column("f").to_numpy().view(np.uint64), n.column("count").to_numpy()
+        return np.sort(f), n[np.argsort(f)]
+
+    n_p, n_u = positive.count(), unlabelled.count()
+    often, in_p = counts(extracted(positive, None), 3)
+    seen, n = counts(extracted(unlabelled, Known(often)), 1)
+    in_u = np.zeros(len(often), np.int64)
+    in_u[np.searchsorted(often, seen)] = n
+    wanted = Known(often[lifted(in_p, n_p, in_u, n_u)])
+    return train(gathered(extracted(positive, wanted)), gathered(extracted(unlabelled, wanted)), prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
