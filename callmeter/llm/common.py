@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,34 +122,48 @@ class Forest:
 
     def join(self, x: int, others: np.ndarray) -> None:
         """Joins x with each of the others; of those known to be together, with one."""
-        for y in others[np.unique(self.root[others], return_index=True)[1]]:
-            r, s = self.find(x), self.find(y)
-            if r != s:
-                self.root[max(r, s)] = min(r, s)
-                self.edges.append((int(x), int(y)))
+        for y in others[np.unique(self.root[others], return_index=True)[1]].tolist():
+            self.unite(x, y)
+
+    def unite(self, x: int, y: int) -> None:
+        r, s = self.find(x), self.find(y)
+        if r != s:
+            self.root[max(r, s)] = min(r, s)
+            self.edges.append((x, y))
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b), root the smallest node reachable.
 
-    Alternating large-star and small-star rounds: each keeps a number of edges linear in the input, groups only
-    with map-side minima, and is stored in the shared folder. Stops when a round changes nothing.
+    Each partition's edges are first reduced to a forest. Then come alternating large-star and small-star rounds: each
+    keeps a number of edges linear in the input, groups only with map-side minima, and is stored in the shared folder.
+    It ends when every node has one edge and leads to a node without any.
     """
+    def reduced(batches):
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if held:
+            a, b = (np.concatenate(x) for x in zip(*held))
+            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            forest = Forest(len(nodes))
+            for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
+                forest.unite(x, y)
+            root = np.array([forest.find(i) for i in range(len(nodes))])
+            other = np.flatnonzero(root != np.arange(len(nodes)))
+            yield pa.record_batch({"a": pa.array(nodes[other]), "b": pa.array(nodes[root[other]])})
+
     def minima(e: DataFrame) -> DataFrame:
         return e.groupBy("a").agg(F.min("b").alias("m"))
 
-    e = stored(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
+    e = stored(spark, edges.where("a <> b").select("a", "b").mapInArrow(reduced, "a long, b long"))
     while True:
+        ends = e.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").limit(1).count() == 0:
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = minima(both).select("a", F.least("a", "m").alias("m"))
         e = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = minima(e)
         e = e.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         e = stored(spark, e)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     star = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
