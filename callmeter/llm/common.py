@@ -55,7 +55,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64, for i below n."""
     if "up" not in _powers or len(_powers["up"]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(18, int(n - 1).bit_length())
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             a = np.full(size, base, np.uint64)
             a[0] = 1

@@ -33,7 +33,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return g, np.searchsorted(starts, at, "right") - 1
 
 
-def blocks(batch: pa.RecordBatch, column: int, chars: int = 1 << 20):
+def blocks(batch: pa.RecordBatch, column: int, chars: int = 1 << 18):
     """Row ranges of a batch with about `chars` characters each, and their texts."""
     texts, first, size = [], 0, 0
     for i, text in enumerate(batch.column(column)):
