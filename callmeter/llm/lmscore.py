@@ -2,116 +2,173 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import mix, stored, table, words
 from .langid import blocks
 
 SCHEMA = "doc_id long, n_tokens long, ce_target double, ce_background double, ce_diff double"
 UNKNOWN = 64
+_BEGIN = np.uint64(0x8C7F0AAC97C4AA2F)
 
 
+@dataclass
 class Models:
-    """Two bigram models over one vocabulary: `vocabulary` holds the word hashes in order, word i has number i, and a
-    word outside it falls, by its hash, into one of UNKNOWN classes after them. loss[0] and loss[1] are the target's and
-    the background's -log p(word | word before); row `n` is a text's beginning."""
-
-    def __init__(self, vocabulary: np.ndarray, loss: np.ndarray):
-        self.vocabulary, self.loss = vocabulary, loss
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        return number(self.vocabulary, hashes)
-
-    def score(self, text: str) -> tuple[int, float, float]:
-        w = self.numbers(words(text))
-        if not len(w):
-            return 0, 0.0, 0.0
-        before = np.concatenate([[self.loss.shape[1] - 1], w[:-1]])
-        t, b = self.loss[0][before, w].mean(dtype=np.float64), self.loss[1][before, w].mean(dtype=np.float64)
-        return len(w), float(t), float(b)
-
-
-def number(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Two bigram models over one vocabulary. Their counts stay in Spark: `words` has (b, t, g), how often each word
+    occurs in the target and in the background, and bigrams are counted by score. total and types are each model's
+    number of words and of distinct words, size that of the vocabulary with UNKNOWN classes of other words.
+    known is None where every word of both corpora is in the vocabulary, else its words' hashes in order."""
+
+    target: DataFrame
+    background: DataFrame
+    words: DataFrame
+    total: tuple[int, int]
+    types: tuple[int, int]
+    size: int
+    known: np.ndarray | None
+    discount: float
+
+
+def number(vocabulary: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
+    """What stands for each word: its hash or, with a vocabulary, its number there, others falling into UNKNOWN classes."""
+    if vocabulary is None:
+        return hashes
     if not len(vocabulary):
-        return (hashes % np.uint64(UNKNOWN)).astype(np.int64)
+        return hashes % np.uint64(UNKNOWN)
     i = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[i] == hashes, i, len(vocabulary) + (hashes % np.uint64(UNKNOWN)).astype(np.int64))
+    return np.where(vocabulary[i] == hashes, i.astype(np.uint64), np.uint64(len(vocabulary)) + hashes % np.uint64(UNKNOWN))
 
 
-def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([n for _, n in held])).astype(np.int64)
+def _bigrams(text: str, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's bigram, the word before (_BEGIN at the beginning) and the word."""
+    b = number(known, words(text))
+    a = np.concatenate([[_BEGIN], b[:-1]])[: len(b)]
+    return mix(mix(a) + b), a, b
 
 
-def _counted(texts: DataFrame, keys, schema: str) -> DataFrame:
-    """Sums, over all texts (text), of how often keys(text) holds each key: by task first, then by Spark."""
+def _summed(texts: DataFrame, keys, names: list[str], hold: int = 1 << 20) -> DataFrame:
+    """How often the arrays of keys(text), the first of which identifies the others, occur together: summed up by task
+    for some `hold` of them at a time, so a key may come out several times, with column n."""
     def run(batches):
-        held, size = [], 0
+        def close(part):
+            every = [np.concatenate(x) for x in zip(*part)]
+            _, first, n = np.unique(every[0], return_index=True, return_counts=True)
+            for i in range(0, len(first), 100_000):
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[first[i : i + 100_000]].view(np.int64)) for x in every), pa.array(n[i : i + 100_000])], names=[*names, "n"])
+
+        part, size = [], 0
         for batch in batches:
             for _, _, some in blocks(batch, 0):
-                held.append(np.unique(np.concatenate([keys(t) for t in some]), return_counts=True))
-                size += len(held[-1][0])
-                if size > 1 << 22:
-                    held = [_merged(held)]
-                    size = 0
-        if held:
-            k, n = _merged(held)
-            for i in range(0, len(k), 100_000):
-                yield pa.record_batch({"key": pa.array(k[i : i + 100_000].astype(np.int64, copy=False)), "n": pa.array(n[i : i + 100_000])})
+                for text in some:
+                    part.append(keys(text))
+                    size += len(part[-1][0])
+                    if size >= hold:
+                        yield from close(part)
+                        part, size = [], 0
+        if size:
+            yield from close(part)
+
+    return texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "n"]))
+
 
-    return texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"))
+def _both(target: DataFrame, background: DataFrame, keys, names: list[str]) -> DataFrame:
+    """_summed for both corpora: t counts the target's, g the background's."""
+    none = F.lit(0).cast("long")
+    return _summed(target, keys, names).select(*names, F.col("n").alias("t"), none.alias("g")).unionByName(_summed(background, keys, names).select(*names, none.alias("t"), F.col("n").alias("g")))
 
 
-def fit(target: DataFrame, background: DataFrame, vocabulary: int = 2048, discount: float = 0.75) -> Models:
+def fit(target: DataFrame, background: DataFrame, vocabulary: int | None = None, discount: float = 0.75) -> Models:
     """Matched models from target (text) and background (text).
 
-    The shared vocabulary is the `vocabulary` words most frequent in the background, counted over all of it (ties by
-    hash). Bigram counts cover every word of every text of either; both models are smoothed alike, by absolute
-    discounting backed by their own discounted unigrams and those by a uniform share. What the driver gets is bounded
-    by the vocabulary's size: (vocabulary + UNKNOWN + 1) squared counts at most for each model, and as many losses go
-    out to the tasks.
+    The shared vocabulary is all words of either; with `vocabulary`, only as many as that, the most frequent in the
+    background (ties by hash). Counts cover every word of every text of either; both models are smoothed alike, by
+    absolute discounting backed by their own discounted unigrams and those by a uniform share. The counts are Spark
+    tables; the driver gets sums (and the words of a vocabulary whose size was given).
     """
-    counts = _counted(background, lambda t: words(t).view(np.int64), "key long, n long")
-    known = np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(vocabulary).collect()], np.int64).view(np.uint64))
-    size = len(known) + UNKNOWN
-
-    def bigrams(text: str) -> np.ndarray:
-        w = number(known, words(text))
-        return np.concatenate([[size], w[:-1]])[: len(w)] * size + w
-
-    loss = np.empty((2, size + 1, size), np.float32)
-    for k, texts in enumerate((target, background)):
-        found = _counted(texts, bigrams, "key long, n long").toArrow()
-        n = np.zeros((size + 1) * size, np.float64)
-        n[found.column(0).to_numpy()] = found.column(1).to_numpy()
-        n = n.reshape(size + 1, size)
-        one = n.sum(0)
-        total = max(1.0, one.sum())
-        single = np.maximum(one - discount, 0) / total
-        single += (1 - single.sum()) / size
-        row = n.sum(1, keepdims=True)
-        p = np.maximum(n - discount, 0) / np.maximum(1, row)
-        p += (1 - p.sum(1, keepdims=True)) * single
-        loss[k] = -np.log(p)
-    return Models(known, loss)
-
-
-def score(docs: DataFrame, models: Models) -> DataFrame:
+    known = None
+    if vocabulary is not None:
+        counts = _summed(background, lambda t: (words(t),), ["b"]).groupBy("b").agg(F.sum("n").alias("n"))
+        known = np.sort(np.array([r["b"] for r in counts.orderBy(F.desc("n"), "b").limit(vocabulary).collect()], np.int64).view(np.uint64))
+    every = _both(target, background, lambda t: (number(known, words(t)),), ["b"])
+    every = stored(target.sparkSession, every.groupBy("b").agg(F.sum("t").alias("t"), F.sum("g").alias("g")))
+    s = every.agg(F.sum("t").alias("t"), F.sum("g").alias("g"), F.count_if(F.col("t") > 0).alias("types_t"), F.count_if(F.col("g") > 0).alias("types_g"), F.count(F.lit(1)).alias("words")).first()
+    size = (s["words"] if known is None else len(known)) + UNKNOWN
+    return Models(target, background, every, (s["t"] or 0, s["g"] or 0), (s["types_t"], s["types_g"]), size, known, discount)
+
+
+def losses(models: Models, asked: DataFrame | None) -> DataFrame:
+    """(h, loss_t, loss_g): -log p(word | word before) under both models for every bigram of the two corpora and, if
+    given, of asked (text)."""
+    known, d = models.known, models.discount
+
+    def keys(text):
+        return _bigrams(text, known)
+
+    names = ["h", "a", "b"]
+    found = _both(models.target, models.background, keys, names)
+    if asked is not None:
+        found = found.unionByName(_summed(asked, keys, names).select(*names, F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("g")))
+    found = found.repartition("a").groupBy("a", "b", "h").agg(F.sum("t").alias("t"), F.sum("g").alias("g"))
+    of = W.partitionBy("a")
+
+    def given(k: str) -> list:
+        row = F.greatest(F.lit(1), F.sum(k).over(of))
+        left = F.when(F.sum(k).over(of) > 0, d * F.count_if(F.col(k) > 0).over(of) / row).otherwise(F.lit(1.0))
+        return [(F.greatest(F.lit(0.0), F.col(k) - d) / row).alias(f"p_{k}"), left.alias(f"left_{k}")]
+
+    one = models.words.withColumnsRenamed({"t": "one_t", "g": "one_g"})
+    found = found.select("h", "b", *given("t"), *given("g")).join(one, "b", "left")
+
+    def loss(k: str, i: int):
+        total = max(1, models.total[i])
+        share = (d * models.types[i] / total if models.types[i] else 1.0) / models.size
+        single = F.greatest(F.lit(0.0), F.coalesce(f"one_{k}", F.lit(0)) - d) / total + F.lit(share)
+        return (-F.log(F.col(f"p_{k}") + F.col(f"left_{k}") * single)).alias(f"loss_{k}")
+
+    return found.select("h", loss("t", 0), loss("g", 1))
+
+
+def score(docs: DataFrame, models: Models, seen: bool = False) -> DataFrame:
     """SCHEMA for every row of docs (doc_id, text): the mean loss per word under both models and ce_diff, target less
     background; lower means more like the target. Texts without words, and null ones, have no loss: zeros. Repeated rows
-    come out as often as they occur; a null doc_id stays null; other columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    come out as often as they occur, in the order of docs; a null doc_id stays null; other columns are ignored.
+
+    Rows are exploded to distinct bigrams, which meet their losses by a shuffle and are summed up by row. `seen` says
+    that every text of docs is in one of the corpora, so that no other bigram is asked for. Bigrams and words are told
+    apart by 64-bit hashes.
+    """
+    known = models.known
 
     def run(batches):
         for batch in batches:
-            n, t, b = zip(*(shared.value.score(x.as_py() or "") for x in batch.column(1))) if batch.num_rows else ((), (), ())
-            t, b = np.array(t, np.float64), np.array(b, np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(t), pa.array(b), pa.array(t - b)], names=["doc_id", "n_tokens", "ce_target", "ce_background", "ce_diff"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+            for lo, hi, some in blocks(batch, 1):
+                ids, rows = batch.column(0)[lo:hi].to_pylist(), batch.column(2)[lo:hi].to_numpy()
+                h, n, size = [], [], []
+                for text in some:
+                    key, count = np.unique(_bigrams(text, known)[0], return_counts=True)
+                    h.append(key)
+                    n.append(count)
+                    size.append(int(count.sum()))
+                held = [len(x) for x in h]
+                of = np.concatenate([rows, np.repeat(rows, held)])
+                every = np.concatenate([mix(rows.astype(np.uint64)), *h]).view(np.int64)
+                times = np.concatenate([np.zeros(len(rows), np.int64), *n])
+                rest = pa.nulls(int(sum(held)), pa.int64())
+                columns = [pa.array(of), pa.array(every), pa.array(times), pa.concat_arrays([pa.array(ids, pa.int64()), rest]), pa.concat_arrays([pa.array(size, pa.int64()), rest])]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "h", "n", "doc_id", "n_tokens"])
+
+    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row"))
+    asked = named.mapInArrow(run, "row long, h long, n long, doc_id long, n_tokens long")
+    met = asked.join(losses(models, None if seen else docs.select("text")), "h", "left")
+    mean = [F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n") * F.col(f"loss_{k}"))) / F.max("n_tokens"), F.lit(0.0)).alias(name) for k, name in (("t", "ce_target"), ("g", "ce_background"))]
+    scored = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *mean).orderBy("row")
+    return scored.select("doc_id", "n_tokens", "ce_target", "ce_background", (F.col("ce_target") - F.col("ce_background")).alias("ce_diff"))
 
 
 def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,4 +176,4 @@ def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
     target = docs.join(good.hint("shuffle_hash"), "doc_id", "left_semi")
-    return score(docs, fit(target, docs))
+    return score(docs, fit(target, docs), seen=True)
