@@ -14,6 +14,8 @@ from .common import mix, table
 
 UNKNOWN = "und"
 HASHES = 3
+#: With fewer n-grams than this in every filter, too little is learned to say that a text is in none of the languages.
+ENOUGH = 300
 
 
 @lru_cache(1)
@@ -57,13 +59,16 @@ class Filters:
         self.langs, self.slots, self.bits = langs, slots, int(len(slots) - 1).bit_length()
         fill = np.array([((slots >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(langs))])
         self.false = fill**HASHES
+        self.enough = bool(len(langs)) and -np.log1p(-np.minimum(fill, 1 - 1e-9)).max() * len(slots) / HASHES >= ENOUGH
 
     def masks(self, g: np.ndarray) -> np.ndarray:
         """The languages whose filter holds each n-gram, as bitmasks."""
         found = [self.slots[p] for p in positions(g, self.bits)]
         return found[0] & found[1] & found[2]
 
-    def decide(self, texts: list[str]) -> list[tuple[str, float]]:
+    def decide(self, texts: list[str]) -> list[tuple[str, float, int, float | None]]:
+        """Each text's language, its share of all hits, the number of n-grams and which share of them the language's
+        filter holds, corrected for false positives (None where too little is learned)."""
         g, of = grams(texts)
         total = np.bincount(of, minlength=len(texts)).astype(float)
         m = self.masks(g) if self.langs else g
@@ -71,11 +76,11 @@ class Filters:
         out = []
         for k, n in enumerate(total):
             if not n or not self.langs:
-                out.append((UNKNOWN, 0.0))
+                out.append((UNKNOWN, 0.0, int(n), 0.0 if self.enough else None))
                 continue
             right = np.maximum(0, (hits[:, k] - n * self.false) / np.maximum(1e-9, 1 - self.false))
             best = int(np.argmax(right))
-            out.append((self.langs[best], float(right[best] / right.sum()) if right.sum() else 0.0))
+            out.append((self.langs[best], float(right[best] / right.sum()) if right.sum() else 0.0, int(n), float(right[best] / n) if self.enough else None))
         return out
 
 
@@ -142,22 +147,24 @@ def learn(docs: DataFrame, share: float = 0.3, least: int = 3, max_bits: int = 2
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """docs with lang_pred and score: the language whose filter, corrected for its false positives, holds most of the
-    text's n-grams, and its share of all languages' hits. `und` and 0 for null texts and those without a letter; ties go
-    to the first language in order. Repeated rows stay, as do all columns but any of these two names."""
+    """docs with lang_pred, score, n_grams and held: the language whose filter, corrected for its false positives, holds most of the
+    text's n-grams, its share of all languages' hits, the number of n-grams and the share of them that its filter holds
+    (null where no filter has ENOUGH n-grams). `und` and 0 for null texts and those without a letter; ties go to the
+    first language in order. Repeated rows stay, as do all columns but any of these four names."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(filters)
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop("lang_pred", "score", "n_grams", "held")
     at = kept.columns.index("text")
 
     def run(batches):
         for batch in batches:
             for lo, hi, texts in blocks(batch, at):
-                lang, score = zip(*shared.value.decide(texts))
+                lang, score, n, held = zip(*shared.value.decide(texts))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(held, pa.float64())], names=[*part.schema.names, "lang_pred", "score", "n_grams", "held"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    more = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("n_grams", T.LongType()), ("held", T.DoubleType())]
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(*x) for x in more)]))
 
 
 def held_out(modulus: int, remainder: int):
