@@ -28,9 +28,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no known language: null texts, those without a letter, those of which no language's filter
     holds an n-gram and, from SHORT n-grams on, those of which the best filter holds less than FLOOR of them. Fills in a
-    missing lang."""
-    kept = langid.predict(docs, langid.learn(docs)).where((F.col("n_grams") > 0) & (F.col("held") > 0) & ((F.col("n_grams") < SHORT) | (F.col("held") >= FLOOR)))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    missing lang. Where too little is learned (no text with a lang, or no filter of langid.ENOUGH n-grams), every text
+    with a letter stays; without any language a missing lang stays null."""
+    kept = langid.predict(docs, langid.learn(docs)).where("n_grams > 0")
+    kept = kept.where(F.col("held").isNull() | ((F.col("held") > 0) & ((F.col("n_grams") < SHORT) | (F.col("held") >= FLOOR))))
+    return kept.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit(langid.UNKNOWN)))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
