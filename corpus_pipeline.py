@@ -36,12 +36,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each class of documents linked by a Jaccard similarity of 0.8 or more of their
-    five-word shingles. Documents without an id or without words are all kept."""
-    classes = jaccard.near_classes(spark, docs, words=5, num=80, den=100)
-    kept = classes.where("component_id = doc_id").select("doc_id").distinct()
-    named = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Keeps one row of each class of documents linked by a Jaccard similarity of 0.8 or more of their five-word
+    shingles: that of the smallest doc_id, one without an id only where all lack it, any of those that repeat it. All
+    rows take part, each by a number of its own. Documents without words are all kept."""
+    rows = stored(spark, docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    classes = jaccard.near_rows(spark, rows.select("row", "doc.doc_id", "doc.text"), words=5, num=80, den=100)
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
+    kept = classes.groupBy(F.coalesce("root", "row"), F.col("root").isNull()).agg(first["row"].alias("row")).select("row")
+    return rows.join(kept.hint("shuffle_hash"), "row", "left_semi").select("doc.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
