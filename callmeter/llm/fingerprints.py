@@ -17,10 +17,10 @@ TRIES = 24
 
 
 def _probes(bins: int) -> list[list[int]]:
-    """For each bin, the bins it borrows from when empty, in order: every bin draws its own sequence from a shared seed
-    (optimal densification), so that two texts with the same empty bin borrow alike."""
+    """For each bin, all bins in the order in which it tries to borrow from them when empty: every bin has its own order,
+    from a shared seed (optimal densification), so that two texts with the same empty bin borrow alike."""
     draw = random.Random(20170817)
-    return [[draw.randrange(bins) for _ in range(TRIES)] for _ in range(bins)]
+    return [draw.sample(range(bins), bins) for _ in range(bins)]
 
 
 def bin_minima(text: Column, bins: int = BINS, words: int = WORDS) -> Column:
@@ -46,17 +46,23 @@ def fingerprint(minima: Column, bins: int = BINS, bits: int = LOW_BITS) -> Colum
     """Hex of the bins' low-order `bits` (4 or 8) bits, bin by bin; empty for a text without words.
 
     Hashes sort as signed numbers, so bin numbers run from -bins / 2. An empty bin takes the value of the first filled
-    bin of its probe sequence, then (if none of TRIES is filled) of the lowest filled bin.
+    bin of its probe sequence. The first TRIES of these are looked up one by one; where all are empty, as only in short
+    texts, it is the filled bin of least rank in the sequence.
     """
     shift, half, digits = 64 - (bins - 1).bit_length(), bins // 2, bits // 4
     code = F.transform(minima, lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND((1 << bits) - 1)), digits, "0")))
     held = F.map_from_arrays(F.transform(minima, lambda x: (F.shiftright(x, shift) + half).cast("int")), code)
-    probes = F.array(*[F.array(*[F.lit(b) for b in row]) for row in _probes(bins)])
+    order = _probes(bins)
+    ranks = [sorted(range(bins), key=row.__getitem__) for row in order]  # the inverse of each order
+    probes = F.array(*[F.array(*[F.lit(b) for b in row[:TRIES]]) for row in order])
+    # One string for each bin, of the ranks of all bins in its sequence, three hex digits each.
+    rank = F.array(*[F.lit("".join(f"{r:03x}" for r in row)) for row in ranks])
 
     def fill(m: Column) -> Column:
         def value(i):
             borrowed = F.aggregate(F.get(probes, i), F.lit(None).cast("string"), lambda acc, b: F.coalesce(acc, F.try_element_at(m, b)))
-            return F.coalesce(F.try_element_at(m, i), borrowed, F.get(F.map_values(m), F.lit(0)))
+            least = F.array_min(F.transform(F.map_keys(m), lambda b: F.concat(F.substr(F.get(rank, i), b * 3 + 1, F.lit(3)), b.cast("string"))))
+            return F.coalesce(F.try_element_at(m, i), borrowed, F.try_element_at(m, F.substr(least, F.lit(4), F.lit(9)).cast("int")))
 
         return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), value), "")
 
