@@ -6,174 +6,329 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import mix, stored, table, words
 from .langid import blocks
 
 SCHEMA = "doc_id long, n_tokens long, ce_target double, ce_background double, ce_diff double"
-UNKNOWN = 64
-_BEGIN = np.uint64(0x8C7F0AAC97C4AA2F)
+#: Beginning and end of a document, as a word: each document is followed by one and preceded by one.
+EDGE = np.uint64(0x8C7F0AAC97C4AA2F)
+#: The vocabulary's size is told from the least hashes of its words: exact up to so many words.
+LEAST_WORDS = 4096
+#: What a word never seen counts, and the weight of a word's own share beside its share after the word before.
+NEW, WEIGHT = 0.5, 10.0
+TARGET, BACKGROUND, ASKED = 1, 2, 4
 
 
 @dataclass
 class Models:
-    """Two bigram models over one vocabulary. Their counts stay in Spark: `words` has (b, t, g), how often each word
-    occurs in the target and in the background, and bigrams are counted by score. total and types are each model's
-    number of words and of distinct words, size that of the vocabulary with UNKNOWN classes of other words.
-    known is None where every word of both corpora is in the vocabulary, else its words' hashes in order."""
-
-    target: DataFrame
-    background: DataFrame
-    words: DataFrame
-    total: tuple[int, int]
-    types: tuple[int, int]
-    size: int
-    known: np.ndarray | None
-    discount: float
-
-
-def number(vocabulary: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
-    """What stands for each word: its hash or, with a vocabulary, its number there, others falling into UNKNOWN classes."""
-    if vocabulary is None:
-        return hashes
-    if not len(vocabulary):
-        return hashes % np.uint64(UNKNOWN)
-    i = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[i] == hashes, i.astype(np.uint64), np.uint64(len(vocabulary)) + hashes % np.uint64(UNKNOWN))
+    """Two matched bigram models over one vocabulary, all words of both corpora.
 
+    p(b | a) = (c(a, b) + WEIGHT * q(b)) / (c(a) + WEIGHT),  q(b) = (c(b) + NEW) / (N + NEW * V),
+    where c counts the corpus, scaled so that both models have the same number N of words (the smaller corpus's), and V
+    is the size of the vocabulary. A document that belongs to a corpus is left out of that corpus's counts when it is
+    scored itself.
 
-def _bigrams(text: str, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's bigram, the word before (_BEGIN at the beginning) and the word."""
-    b = number(known, words(text))
-    a = np.concatenate([[_BEGIN], b[:-1]])[: len(b)]
-    return mix(mix(a) + b), a, b
+    Held here are the words and the bigrams that make up a `share` of all occurrences or more, of which there can be only
+    1 / share each, with how often each occurs in the target and in the background. All others' counts never leave the
+    executors: `score` counts them where it looks them up.
+    """
 
+    total: tuple[int, int]
+    size: int
+    words: np.ndarray
+    word_counts: np.ndarray
+    bigrams: np.ndarray
+    bigram_counts: np.ndarray
+
+    def __post_init__(self):
+        n = max(1, min(x for x in self.total if x) if any(self.total) else 1)
+        self.scale = [n / x if x else 0.0 for x in self.total]
+        self.whole = n + NEW * self.size
+
+    def loss(self, k: int, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The loss of a word in model k by its own and its bigram's count there, and its part as the next one's context."""
+        pair, word = pair * self.scale[k], word * self.scale[k]
+        return -np.log(pair + WEIGHT * (word + NEW) / self.whole) + np.log(word + WEIGHT)
+
+
+def place(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The position of each key in the sorted array known, -1 for others."""
+    if not len(known):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, at, -1)
+
+
+def bigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, word, hash of the bigram that it ends) for every word and every document's end, and words per document."""
+    each = [words(t) for t in texts]
+    n = np.array([len(w) for w in each])
+    b = [np.append(w, EDGE) for w in each if len(w)]
+    a = [np.concatenate([[EDGE], w]) for w in each if len(w)]
+    of = np.repeat(np.arange(len(texts)), np.where(n > 0, n + 1, 0))
+    if not b:
+        return of, np.zeros(0, np.uint64), np.zeros(0, np.uint64), n
+    b = np.concatenate(b)
+    return of, b, mix(mix(np.concatenate(a)) + b), n
+
+
+def marked(batch: pa.RecordBatch):
+    """Pieces of a batch (doc_id, text, marks): ids, marks and texts."""
+    for lo, hi, texts in blocks(batch, 1):
+        yield batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo).to_numpy(), texts
+
+
+def fit(corpus: DataFrame, share: float = 2.0**-16, hold: int = 1 << 20) -> Models:
+    """Models from corpus (doc_id, text, marks), marks being the sum of TARGET, BACKGROUND and ASKED.
+
+    Every word of every text of both corpora is counted. Each task first sums up `hold` words at a time and passes on
+    what makes up a `share` there (and occurs more than three times); what makes up a share in all is then counted
+    exactly. The driver gets at most 2 / share keys.
+    """
+    spark = corpus.sparkSession
 
-def _summed(texts: DataFrame, keys, names: list[str], hold: int = 1 << 20) -> DataFrame:
-    """How often the arrays of keys(text), the first of which identifies the others, occur together: summed up by task
-    for some `hold` of them at a time, so a key may come out several times, with column n."""
-    def run(batches):
+    def frequent(batches):
         def close(part):
-            every = [np.concatenate(x) for x in zip(*part)]
-            _, first, n = np.unique(every[0], return_index=True, return_counts=True)
-            for i in range(0, len(first), 100_000):
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[first[i : i + 100_000]].view(np.int64)) for x in every), pa.array(n[i : i + 100_000])], names=[*names, "n"])
+            b, h, w = (np.concatenate(x) for x in zip(*part))
+            for kind, key in ((0, b), (1, h)):
+                key, n = np.unique(key, return_counts=True)
+                if kind == 0:
+                    low = np.sort(mix(key[key != EDGE]))[:LEAST_WORDS]
+                    yield rows(2, low, np.zeros(len(low), np.int64))
+                keep = n > max(3, share * len(b))
+                yield rows(kind, key[keep], n[keep])
+            yield rows(3, np.arange(2, dtype=np.uint64), np.array([((w & m) > 0).sum() for m in (TARGET, BACKGROUND)]))
+
+        def rows(kind, key, n):
+            return pa.record_batch({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": pa.array(key.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
         part, size = [], 0
         for batch in batches:
-            for _, _, some in blocks(batch, 0):
-                for text in some:
-                    part.append(keys(text))
-                    size += len(part[-1][0])
-                    if size >= hold:
-                        yield from close(part)
-                        part, size = [], 0
+            for _, marks, texts in marked(batch):
+                of, b, h, _ = bigrams(texts)
+                part.append((b, h, marks[of]))
+                size += len(b)
+                if size >= hold:
+                    yield from close(part)
+                    part, size = [], 0
         if size:
             yield from close(part)
 
-    return texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "n"]))
+    learned = corpus.where(F.col("marks").bitwiseAND(TARGET + BACKGROUND) > 0)
+    found = stored(spark, learned.mapInArrow(frequent, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    sums = {r["key"]: r["n"] for r in found.where("kind = 3").collect()}
+    total = (sums.get(0, 0), sums.get(1, 0))
+    least = np.sort(found.where("kind = 2").select("key").orderBy(F.col("key") < 0, "key").limit(LEAST_WORDS).toArrow().column(0).to_numpy().view(np.uint64))
+    size = len(least) if len(least) < LEAST_WORDS else round((LEAST_WORDS - 1) * 2.0**64 / float(least[-1]))
+    often = [np.sort(found.where((F.col("kind") == kind) & (F.col("n") >= share * max(total))).select("key").toArrow().column(0).to_numpy().view(np.uint64)) for kind in (0, 1)]
 
+    def count(batches):
+        n = [np.zeros((len(keys), 2), np.int64) for keys in often]
+        for batch in batches:
+            for _, marks, texts in marked(batch):
+                of, b, h, _ = bigrams(texts)
+                for keys, sums, x in zip(often, n, (b, h)):
+                    at = place(keys, x)
+                    for m in (0, 1):
+                        sums[:, m] += np.bincount(at[(at >= 0) & ((marks[of] & (1 << m)) > 0)], minlength=len(keys))
+        for kind, sums in enumerate(n):
+            at = np.flatnonzero(sums.any(1))
+            yield pa.record_batch({"kind": pa.array(np.full(len(at), kind, np.int32)), "at": pa.array(at), "t": pa.array(sums[at, 0]), "g": pa.array(sums[at, 1])})
 
-def _both(target: DataFrame, background: DataFrame, keys, names: list[str]) -> DataFrame:
-    """_summed for both corpora: t counts the target's, g the background's."""
-    none = F.lit(0).cast("long")
-    return _summed(target, keys, names).select(*names, F.col("n").alias("t"), none.alias("g")).unionByName(_summed(background, keys, names).select(*names, none.alias("t"), F.col("n").alias("g")))
+    exact = learned.mapInArrow(count, "kind int, at long, t long, g long").groupBy("kind", "at").agg(F.sum("t").alias("t"), F.sum("g").alias("g")).toArrow()
+    counts = [np.zeros((len(keys), 2), np.int64) for keys in often]
+    for kind in (0, 1):
+        of = exact.column("kind").to_numpy() == kind
+        counts[kind][exact.column("at").to_numpy()[of]] = np.stack([exact.column(k).to_numpy()[of] for k in "tg"], 1)
+    return Models(total, size, often[0], counts[0], often[1], counts[1])
 
 
-def fit(target: DataFrame, background: DataFrame, vocabulary: int | None = None, discount: float = 0.75) -> Models:
-    """Matched models from target (text) and background (text).
+_SENT = "bucket int, block long, ids array<long>, n array<long>, t array<double>, g array<double>, data binary"
+_BACK = "block long, ids array<long>, n array<long>, t array<double>, g array<double>, data binary"
 
-    The shared vocabulary is all words of either; with `vocabulary`, only as many as that, the most frequent in the
-    background (ties by hash). Counts cover every word of every text of either; both models are smoothed alike, by
-    absolute discounting backed by their own discounted unigrams and those by a uniform share. The counts are Spark
-    tables; the driver gets sums (and the words of a vocabulary whose size was given).
-    """
-    known = None
-    if vocabulary is not None:
-        counts = _summed(background, lambda t: (words(t),), ["b"]).groupBy("b").agg(F.sum("n").alias("n"))
-        known = np.sort(np.array([r["b"] for r in counts.orderBy(F.desc("n"), "b").limit(vocabulary).collect()], np.int64).view(np.uint64))
-    every = _both(target, background, lambda t: (number(known, words(t)),), ["b"])
-    every = stored(target.sparkSession, every.groupBy("b").agg(F.sum("t").alias("t"), F.sum("g").alias("g")))
-    s = every.agg(F.sum("t").alias("t"), F.sum("g").alias("g"), F.count_if(F.col("t") > 0).alias("types_t"), F.count_if(F.col("g") > 0).alias("types_g"), F.count(F.lit(1)).alias("words")).first()
-    size = (s["words"] if known is None else len(known)) + UNKNOWN
-    return Models(target, background, every, (s["t"] or 0, s["g"] or 0), (s["types_t"], s["types_g"]), size, known, discount)
-
-
-def losses(models: Models, asked: DataFrame | None) -> DataFrame:
-    """(h, loss_t, loss_g): -log p(word | word before) under both models for every bigram of the two corpora and, if
-    given, of asked (text)."""
-    known, d = models.known, models.discount
-
-    def keys(text):
-        return _bigrams(text, known)
-
-    names = ["h", "a", "b"]
-    found = _both(models.target, models.background, keys, names)
-    if asked is not None:
-        found = found.unionByName(_summed(asked, keys, names).select(*names, F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("g")))
-    found = found.repartition("a").groupBy("a", "b", "h").agg(F.sum("t").alias("t"), F.sum("g").alias("g"))
-    of = W.partitionBy("a")
-
-    def given(k: str) -> list:
-        row = F.greatest(F.lit(1), F.sum(k).over(of))
-        left = F.when(F.sum(k).over(of) > 0, d * F.count_if(F.col(k) > 0).over(of) / row).otherwise(F.lit(1.0))
-        return [(F.greatest(F.lit(0.0), F.col(k) - d) / row).alias(f"p_{k}"), left.alias(f"left_{k}")]
-
-    one = models.words.withColumnsRenamed({"t": "one_t", "g": "one_g"})
-    found = found.select("h", "b", *given("t"), *given("g")).join(one, "b", "left")
-
-    def loss(k: str, i: int):
-        total = max(1, models.total[i])
-        share = (d * models.types[i] / total if models.types[i] else 1.0) / models.size
-        single = F.greatest(F.lit(0.0), F.coalesce(f"one_{k}", F.lit(0)) - d) / total + F.lit(share)
-        return (-F.log(F.col(f"p_{k}") + F.col(f"left_{k}") * single)).alias(f"loss_{k}")
-
-    return found.select("h", loss("t", 0), loss("g", 1))
-
-
-def score(docs: DataFrame, models: Models, seen: bool = False) -> DataFrame:
-    """SCHEMA for every row of docs (doc_id, text): the mean loss per word under both models and ce_diff, target less
-    background; lower means more like the target. Texts without words, and null ones, have no loss: zeros. Repeated rows
-    come out as often as they occur, in the order of docs; a null doc_id stays null; other columns are ignored.
-
-    Rows are exploded to distinct bigrams, which meet their losses by a shuffle and are summed up by row. `seen` says
-    that every text of docs is in one of the corpora, so that no other bigram is asked for. Bigrams and words are told
-    apart by 64-bit hashes.
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    raw = b"".join(x.astype("<u4").tobytes() for x in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, columns: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), "<u4").reshape(columns, -1)
+
+
+def score(corpus: DataFrame, models: Models, hold: int = 1 << 20, bucket_size: int = 500_000) -> DataFrame:
+    """SCHEMA for every row of corpus (doc_id, text, marks) that is ASKED, by the models of the same corpus: the mean loss
+    per word, the end being one, under both models, and ce_diff, target less background; lower means more like the target.
+
+    Each document's distinct bigrams meet all others of their last word in a bucket: there the corpus's counts and each
+    document's losses are summed up. Words and bigrams that are frequent (see Models) don't pile up in one bucket: frequent
+    words' bigrams are dealt by bigram, and frequent bigrams are answered where the document is read. Documents
+    travel as blocks of about `hold` bigrams, nine bytes a bigram; sums come back per document and bucket.
+
+    corpus is to give its rows in the same order whenever it is read (a stored table does). Texts without words, and null
+    ones, have no loss: zeros, n_tokens 0. Repeated rows come out as often as they occur; a null doc_id stays null; an
+    empty table gives no rows; other columns are ignored. Words and bigrams are told apart by 64-bit hashes.
     """
-    known = models.known
+    spark = corpus.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(models.total) // bucket_size + 1)
+    shared = spark.sparkContext.broadcast(models)
+
+    def ask(batches):
+        model, base, block = shared.value, TaskContext.get().partitionId() << 32, 0
+        ids, heads, sent, size, docs = [], [], [], 0, 0
+
+        def close():
+            every = [np.concatenate(x) for x in zip(*sent)]
+            bucket = every.pop()
+            by = np.argsort(bucket, kind="stable")
+            at = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            x, y, n, m, d = (c[by] for c in every)
+            use = np.flatnonzero(at[1:] > at[:-1])
+            data = [_pack(x[s:e], y[s:e], n[s:e], m[s:e], np.diff(d[s:e], prepend=np.uint32(0))) for s, e in zip(at[use], at[use + 1])]
+            columns = [pa.array([i for part in ids for i in part.to_pylist()], pa.int64()), *(pa.array(np.concatenate(h)) for h in zip(*heads))]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array([block % buckets], pa.int32()), pa.array([base + block]), *lists, pa.nulls(1, pa.binary())], names=["bucket", "block", "ids", "n", "t", "g", "data"])
+            none = [pa.nulls(len(use), c.type) for c in lists]
+            yield pa.RecordBatch.from_arrays([pa.array(use.astype(np.int32)), pa.array(np.full(len(use), base + block)), *none, pa.array(data, pa.binary())], names=["bucket", "block", "ids", "n", "t", "g", "data"])
 
-    def run(batches):
         for batch in batches:
-            for lo, hi, some in blocks(batch, 1):
-                ids, rows = batch.column(0)[lo:hi].to_pylist(), batch.column(2)[lo:hi].to_numpy()
-                h, n, size = [], [], []
-                for text in some:
-                    key, count = np.unique(_bigrams(text, known)[0], return_counts=True)
-                    h.append(key)
-                    n.append(count)
-                    size.append(int(count.sum()))
-                held = [len(x) for x in h]
-                of = np.concatenate([rows, np.repeat(rows, held)])
-                every = np.concatenate([mix(rows.astype(np.uint64)), *h]).view(np.int64)
-                times = np.concatenate([np.zeros(len(rows), np.int64), *n])
-                rest = pa.nulls(int(sum(held)), pa.int64())
-                columns = [pa.array(of), pa.array(every), pa.array(times), pa.concat_arrays([pa.array(ids, pa.int64()), rest]), pa.concat_arrays([pa.array(size, pa.int64()), rest])]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "h", "n", "doc_id", "n_tokens"])
-
-    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row"))
-    asked = named.mapInArrow(run, "row long, h long, n long, doc_id long, n_tokens long")
-    met = asked.join(losses(models, None if seen else docs.select("text")), "h", "left")
-    mean = [F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n") * F.col(f"loss_{k}"))) / F.max("n_tokens"), F.lit(0.0)).alias(name) for k, name in (("t", "ce_target"), ("g", "ce_background"))]
-    scored = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *mean).orderBy("row")
-    return scored.select("doc_id", "n_tokens", "ce_target", "ce_background", (F.col("ce_target") - F.col("ce_background")).alias("ce_diff"))
+            for some, marks, texts in marked(batch):
+                of, b, h, length = bigrams(texts)
+                by = np.lexsort((h, of))
+                first = np.flatnonzero(np.concatenate([[True], (h[by][1:] != h[by][:-1]) | (of[by][1:] != of[by][:-1])])) if len(h) else np.zeros(0, int)
+                n = np.diff(np.append(first, len(h)))
+                w = np.lexsort((b, of))
+                new = np.concatenate([[True], (b[w][1:] != b[w][:-1]) | (of[w][1:] != of[w][:-1])]) if len(b) else np.zeros(0, bool)
+                run = np.cumsum(new) - 1
+                m = np.empty(len(b), np.int64)
+                m[w] = np.bincount(run)[run] if len(b) else 0
+                of, b, h, m = (c[by][first] for c in (of, b, h, m))
+                mark = marks[of]
+                in_words, in_pairs = place(model.words, b), place(model.bigrams, h)
+                here = np.flatnonzero((in_words >= 0) & (in_pairs >= 0) & ((mark & ASKED) > 0))
+                sums = []
+                for k in (0, 1):
+                    own = (mark[here] >> k) & 1
+                    loss = model.loss(k, model.bigram_counts[in_pairs[here], k] - n[here] * own, model.word_counts[in_words[here], k] - m[here] * own)
+                    sums.append(np.bincount(of[here], n[here] * loss, len(texts)).astype(float))
+                away = np.flatnonzero((in_words < 0) | (in_pairs < 0))
+                rare = in_words[away] < 0
+                route = mix(np.where(rare, b[away], h[away]) ^ np.uint64(0xA24BAED4963EE407))
+                y = np.where(rare, b[away] & np.uint64(0x7FFFFFFF) | np.uint64(1 << 31), in_words[away].astype(np.uint64)).astype(np.uint32)
+                sent.append((h[away].astype(np.uint32), y, n[away].astype(np.uint32), m[away].astype(np.uint32), ((of[away] + docs) * 8 + mark[away]).astype(np.uint32), ((route >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)))
+                ids.append(some)
+                heads.append((np.where((marks & ASKED) > 0, length, -1), *sums))
+                size, docs = size + len(away), docs + len(texts)
+                if size >= hold or docs >= 1 << 24:
+                    yield from close()
+                    ids, heads, sent, size, docs, block = [], [], [], 0, 0, block + 1
+        if docs:
+            yield from close()
+
+    def answer(batches):
+        model = shared.value
+
+        def close(part):
+            block = np.repeat(np.arange(len(part)), [x.shape[1] for _, x in part])
+            x, y, n, m, d = (c.astype(np.int64) for c in np.concatenate([x for _, x in part], 1))
+            mark, doc = d & 7, d >> 3
+            _, pair = np.unique(y << 32 | x, return_inverse=True)
+            _, word = np.unique(y, return_inverse=True)
+            rare = y >= 1 << 31
+            asked = (mark & ASKED) > 0
+            sums = []
+            for k in (0, 1):
+                own = (mark >> k) & 1
+                of_pair, of_word = np.bincount(pair, n * own)[pair], np.bincount(word, n * own)[word]
+                if len(model.words):
+                    of_word = np.where(rare, of_word, model.word_counts[np.where(rare, 0, y), k])
+                loss = model.loss(k, of_pair - n * own, of_word - m * own)
+                sums.append((n * loss)[asked])
+            key, at = np.unique(block[asked] << 32 | doc[asked], return_inverse=True)
+            sums = [np.bincount(at, s, len(key)).astype(np.float32) for s in sums]
+            cut = np.searchsorted(key >> 32, np.arange(len(part) + 1))
+            use = [i for i in range(len(part)) if cut[i] < cut[i + 1]]
+            doc = key & 0xFFFFFFFF
+            data = [_pack(np.diff(doc[s:e], prepend=0), *(v[s:e].view(np.uint32) for v in sums)) for s, e in ((cut[i], cut[i + 1]) for i in use)]
+            none = [pa.nulls(len(use), pa.list_(t)) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            return pa.RecordBatch.from_arrays([pa.array([part[i][0] for i in use], pa.int64()), *none, pa.array(data, pa.binary())], names=["block", "ids", "n", "t", "g", "data"])
+
+        bucket, part = None, []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                if not batch.column(6)[row].is_valid:
+                    yield pa.RecordBatch.from_arrays([c.slice(row, 1) for c in batch.columns[1:]], names=["block", "ids", "n", "t", "g", "data"])
+                    continue
+                if (k := batch.column(0)[row].as_py()) != bucket and part:
+                    yield close(part)
+                    part = []
+                bucket = k
+                x = _unpack(batch.column(6)[row].as_py(), 5).copy()
+                x[4] = np.cumsum(x[4], dtype=np.uint32)
+                part.append((batch.column(1)[row].as_py(), x))
+        if part:
+            yield close(part)
+
+    def total(batches):
+        def close(head, parts):
+            ids, n, t, g = head
+            for data in parts:
+                x = _unpack(data, 3)
+                at = np.cumsum(x[0].astype(np.int64))
+                t[at] += x[1].view(np.float32)
+                g[at] += x[2].view(np.float32)
+            keep = n >= 0
+            each = np.where(n > 0, n + 1, 1)
+            t, g = (t / each)[keep], (g / each)[keep]
+            return pa.record_batch({"doc_id": ids.filter(pa.array(keep)), "n_tokens": pa.array(n[keep]), "ce_target": pa.array(t), "ce_background": pa.array(g), "ce_diff": pa.array(t - g)})
+
+        block, head, parts = None, None, []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                k = batch.column(0)[row].as_py()
+                if k != block and head is not None:
+                    yield close(head, parts)
+                    head, parts = None, []
+                block = k
+                if batch.column(5)[row].is_valid:
+                    parts.append(batch.column(5)[row].as_py())
+                else:
+                    head = (batch.column(1)[row].values, *(batch.column(c)[row].values.to_numpy(zero_copy_only=False).copy() for c in (2, 3, 4)))
+        if head is not None:
+            yield close(head, parts)
+
+    rows = corpus.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("marks").cast("int"))
+    answers = rows.mapInArrow(ask, _SENT).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, _BACK)
+    return answers.repartition("block").sortWithinPartitions("block").mapInArrow(total, SCHEMA)
+
+
+def together(docs: DataFrame, target: DataFrame, background: DataFrame) -> DataFrame:
+    """The corpus of separate tables docs (doc_id, text), to be scored, target (text) and background (text)."""
+    def some(df: DataFrame, mark: int) -> DataFrame:
+        ids = F.col("doc_id").cast("long") if mark == ASKED else F.lit(None).cast("long")
+        return df.select(ids.alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(mark).alias("marks"))
+
+    return some(docs, ASKED).unionByName(some(target, TARGET)).unionByName(some(background, BACKGROUND))
+
+
+def labelled(docs: DataFrame, good: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The corpus of docs (doc_id, text), all of it background and to be scored, with the ids of good (doc_id) as target.
+
+    Up to `most` ids are broadcast; beyond that docs meet them by a shuffle and are stored.
+    """
+    good = good.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    small = good.count() <= most
+    hit = (F.broadcast(good) if small else good).withColumn("hit", F.lit(TARGET))
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(hit, "doc_id", "left")
+    joined = joined.select("doc_id", "text", (F.coalesce("hit", F.lit(0)) + BACKGROUND + ASKED).alias("marks"))
+    return joined if small else stored(docs.sparkSession, joined)
 
 
 def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores all documents; the target is what the labels call good (quality 1), the background is all documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    target = docs.join(good.hint("shuffle_hash"), "doc_id", "left_semi")
-    return score(docs, fit(target, docs), seen=True)
+    corpus = labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+    return score(corpus, fit(corpus))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 from functools import lru_cache
 
 import numpy as np
@@ -27,14 +28,17 @@ def tokenizer_path(name: str) -> str:
 def byte_encoder(path: str):
     """The byte-level BPE of a tokenizers file as a tiktoken encoding: same vocabulary, same ids, a fraction of the time.
 
-    Merges of such a file are in order of their ids, so an id is a rank; special tokens in a text are encoded as such,
-    as the tokenizers library does by default.
+    An id serves as a rank, so merges have to be in order of the ids they make, which is checked. Special tokens in a text
+    are encoded as such, as the tokenizers library does by default.
     """
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    merged = [spec["model"]["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    if merged != sorted(merged):
+        raise ValueError("this tokenizer's merges aren't in the order of their ids")
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*plain}))}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -43,16 +47,20 @@ def byte_encoder(path: str):
 
 
 class Packer:
-    """Packs the pieces of one worker. Rows: (doc_id, start, ids, doc_tokens, sequence number, offset).
-
-    Whole sequences are cut off first. What remains is cut into lengths capacity / j for j = 2, 4, 8, ... down to
-    `tail`, and a rest below `tail`. A piece of a length in (capacity / (j + 1), capacity / j] belongs to class j, whose
-    bins take exactly j pieces; the cut pieces fill their bins without padding. Each class has one open bin. At the end,
-    pieces of open bins are laid end to end into whole sequences, and the last is cut at powers of two.
+    """Packs the documents of one worker. Rows: (doc_id, start, ids, doc_tokens, sequence number, offset).
+
+    Harmonic classes: a document of a length in (capacity / (j + 1), capacity / j] belongs to class j, whose bins take
+    exactly j of them, whole. Each class has one open bin. What such a bin leaves empty is filled from `stock`, the
+    documents longer than the capacity, which have to be cut anyway: whole sequences are cut off them while the stock
+    holds `most` tokens or more, and pieces of the size that a bin lacks from what is left. A full bin that finds no
+    stock waits; when `waiting` bins do, the next document is cut for them, of whatever class it is. At the end, what is
+    in open or waiting bins or in stock is laid end to end into whole sequences, and the last is cut at powers of two.
     """
 
-    def __init__(self, capacity: int, tail: int):
-        self.capacity, self.tail, self.next, self.open, self.rows = capacity, tail, 0, {}, []
+    def __init__(self, capacity: int, waiting: int = 32, most: int | None = None):
+        self.capacity, self.wait, self.most = capacity, waiting, 4 * capacity if most is None else most
+        self.next, self.open, self.full, self.rows = 0, {}, deque(), []
+        self.stock, self.stocked = deque(), 0
 
     def _close(self, pieces: list) -> None:
         offset = 0
@@ -61,39 +69,51 @@ class Packer:
             offset += len(ids)
         self.next += 1
 
+    def _take(self, size: int) -> list:
+        """Pieces of the stock with `size` tokens in all."""
+        out = []
+        self.stocked -= size
+        while size:
+            doc, start, ids, total = self.stock.popleft()
+            out.append((doc, start, ids[:size], total))
+            if len(ids) > size:
+                self.stock.appendleft((doc, start + size, ids[size:], total))
+            size -= len(out[-1][2])
+        return out
+
+    def _fill(self) -> None:
+        """Closes full bins from the stock, the first that it suffices for, as long as there is one."""
+        while self.full and self.full[0][1] <= self.stocked:
+            pieces, lack = self.full.popleft()
+            self._close(pieces + self._take(lack))
+
     def add(self, doc, ids: np.ndarray) -> None:
-        at, total = 0, len(ids)
-        size = self.capacity
-        while at < total:
-            if size >= self.tail and total - at < size:
-                size //= 2
-                continue
-            length = size if size >= self.tail else total - at
-            piece = (doc, at, ids[at : at + length], total)
-            at += length
-            j = self.capacity // length
-            if j == 1:
-                self._close([piece])
-                continue
-            bin_ = self.open.setdefault(j, [])
-            bin_.append(piece)
-            if len(bin_) == j:
-                self._close(self.open.pop(j))
+        piece = (doc, 0, ids, len(ids))
+        if len(ids) > self.capacity or len(self.full) >= self.wait:
+            self.stock.append(piece)
+            self.stocked += len(ids)
+            self._fill()
+            while self.stocked >= self.most:
+                self._close(self._take(self.capacity))
+            return
+        j = self.capacity // len(ids)
+        pieces = self.open.setdefault(j, [])
+        pieces.append(piece)
+        if len(pieces) == j:
+            del self.open[j]
+            self.full.append((pieces, self.capacity - sum(len(p[2]) for p in pieces)))
+            self._fill()
 
     def finish(self) -> None:
-        rest = [p for j in sorted(self.open) for p in self.open[j]]
-        self.open, left = {}, sum(len(p[2]) for p in rest)
+        """Lays what is left end to end. Bins go first, so that their documents are cut only at a sequence's end."""
+        rest = [p for j in sorted(self.open) for p in self.open[j]] + [p for pieces, _ in self.full for p in pieces]
+        self.open, self.full = {}, deque()
+        self.stock.extendleft(reversed(rest))
+        self.stocked = left = sum(len(p[2]) for p in self.stock)
         while left:
-            room = size = min(self.capacity, 1 << (left.bit_length() - 1))
-            out = []
-            while room:
-                doc, start, ids, total = rest.pop(0)
-                out.append((doc, start, ids[:room], total))
-                if len(ids) > room:
-                    rest.insert(0, (doc, start + room, ids[room:], total))
-                room -= len(out[-1][2])
-            self._close(out)
-            left -= size
+            room = min(self.capacity, 1 << (left.bit_length() - 1))
+            self._close(self._take(room))
+            left -= room
 
     def batch(self, base: int) -> pa.RecordBatch:
         doc, start, ids, total, seq, offset = zip(*self.rows)
@@ -105,21 +125,19 @@ class Packer:
         })
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, tail: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1) -> DataFrame:
     """Packs docs (doc_id, text) into sequences of at most `capacity` tokens; one row per piece (SCHEMA, ids as
     little-endian unsigned 32-bit words).
 
-    Every input partition is packed by its own task, so there is no shuffle, memory holds one batch and at most one open
-    bin per class, and a repeated task gives the same sequences. A sequence id is the partition's number and a counter.
-    Null and empty texts are the end id alone; repeated rows are packed as often as they occur; a null doc_id stays null;
+    Every input partition is packed by its own task, so there is no shuffle, memory holds one batch, at most one open
+    bin per class, some full bins and a stock of long documents, and a repeated task gives the same sequences. A sequence
+    id is the partition's number and a counter. tokenizer: a file that all executors have. Null and empty texts are the end id alone; repeated rows are packed as often as they occur; a null doc_id stays null;
     an empty table gives no rows; other columns are ignored.
     """
-    path = tokenizer or tokenizer_path(TOKENIZER)
-
     def run(batches):
-        encoder = byte_encoder(path)
+        encoder = byte_encoder(tokenizer or tokenizer_path(TOKENIZER))
         special = set(encoder.special_tokens_set)
-        packer, base = Packer(capacity, tail), TaskContext.get().partitionId() << 36
+        packer, base = Packer(capacity), TaskContext.get().partitionId() << 36
         for batch in batches:
             held = 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
