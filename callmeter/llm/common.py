@@ -137,7 +137,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     Each partition's edges are first reduced to a forest. Then come alternating large-star and small-star rounds: each
     keeps a number of edges linear in the input, groups only with map-side minima, and is stored in the shared folder.
-    It ends when every node has one edge and leads to a node without any.
+    It ends when every node has one edge and leads to a node without any. Minima are stored before edges meet them: a
+    join of two plain shuffles can be split where a node has very many edges.
     """
     def reduced(batches):
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -152,7 +153,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             yield pa.record_batch({"a": pa.array(nodes[other]), "b": pa.array(nodes[root[other]])})
 
     def minima(e: DataFrame) -> DataFrame:
-        return e.groupBy("a").agg(F.min("b").alias("m"))
+        return stored(spark, e.groupBy("a").agg(F.min("b").alias("m")))
 
     e = stored(spark, edges.where("a <> b").select("a", "b").mapInArrow(reduced, "a long, b long"))
     while True:

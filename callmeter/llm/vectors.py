@@ -16,87 +16,92 @@ BLOCK = 1024
 
 
 class CoverTree:
-    """Nested levels over unit vectors: a node's children are centres that cover its points at half its level's radius.
+    """Nested levels over unit vectors. A node's children are points of it, its centre first, each further than the level's
+    radius from the others; every point of the node is within that radius of the child it belongs to, and the radius
+    halves from level to level. A node of LEAF points or fewer isn't split further.
 
     Nodes are arrays: centre (a point), radius (the largest distance from the centre to any point below), children, and
-    the points' range in `order`. A node of LEAF points or fewer isn't split.
+    the points' range in `order`.
     """
 
     def __init__(self, x: np.ndarray):
         self.x, self.order = x, np.arange(len(x))
         self.centre, self.radius, self.children, self.range = [], [], [], []
-        self._build(0, len(x), 2.0)
+        todo = [(self._node(0, len(x)), 2.0)]
+        while todo:
+            node, cover = todo.pop()
+            todo += [(child, cover / 2) for child in self._split(node, min(cover, self.radius[node]) / 2)]
+        self.centre, self.radius = np.array(self.centre), np.array(self.radius)
+        self.size = np.array([hi - lo for lo, hi in self.range])
 
     def _distance(self, c: int, points: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, 2 - 2 * (self.x[points] @ self.x[c])))
 
-    def _build(self, lo: int, hi: int, cover: float) -> int:
-        node, c = len(self.centre), self.order[lo]
-        d = self._distance(c, self.order[lo:hi])
-        self.centre.append(c)
-        self.radius.append(float(d.max()))
-        self.children.append([])
+    def _node(self, lo: int, hi: int) -> int:
+        self.centre.append(self.order[lo])
+        self.radius.append(float(self._distance(self.order[lo], self.order[lo:hi]).max()))
+        self.children.append(np.zeros(0, np.int64))
         self.range.append((lo, hi))
+        return len(self.centre) - 1
+
+    def _split(self, node: int, cover: float) -> list[int]:
+        lo, hi = self.range[node]
         if hi - lo <= LEAF or self.radius[node] < 1e-9:
-            return node
-        cover = min(cover, self.radius[node]) / 2
+            return []
         points, nearest, label = self.order[lo:hi].copy(), np.full(hi - lo, np.inf), np.zeros(hi - lo, int)
         k = far = 0
-        while k < 256 and (k == 0 or nearest[far] > cover):
+        while nearest[far] > cover:
             d = self._distance(points[far], points)
+            d[far] = 0
             closer = d < nearest
             nearest[closer], label[closer] = d[closer], k
             k, far = k + 1, int(np.argmax(nearest))
         by = np.lexsort((nearest, label))
         self.order[lo:hi] = points[by]
         ends = lo + np.searchsorted(label[by], np.arange(k + 1))
-        parts = [(int(a), int(b)) for a, b in zip(ends, ends[1:]) if a < b]
-        if len(parts) > 1:
-            # centres that cover little but themselves are kept together, to be compared by one product
-            small = [p for p in parts if p[1] - p[0] < LEAF // 4]
-            if len(small) > 1:
-                rest = np.concatenate([self.order[a:b] for a, b in small])
-                big = [self.order[a:b].copy() for a, b in parts if b - a >= LEAF // 4]
-                pieces = big + [rest[i : i + LEAF] for i in range(0, len(rest), LEAF)]
-                self.order[lo:hi] = np.concatenate(pieces)
-                cut = lo + np.cumsum([0, *map(len, pieces)])
-                parts = [(int(a), int(b)) for a, b in zip(cut, cut[1:])]
-            if len(parts) > 1:
-                self.children[node] = [self._build(a, b, cover) for a, b in parts]
-        return node
+        self.children[node] = np.array([self._node(int(a), int(b)) for a, b in zip(ends, ends[1:])])
+        return self.children[node].tolist()
 
 
 def pairs(a: CoverTree, b: CoverTree, least: float):
     """Dual traversal: yields (rows of a, rows of b, matrix of links or True where all link), for all pairs of points.
 
-    Two nodes are set aside where the distance of their centres less both radii exceeds the threshold's distance, and
-    taken whole where it and both radii stay below it. With a is b, every pair of nodes comes once.
+    All pairs of children of two nodes are looked at together: those whose centres are further apart than the threshold's
+    distance and both covering radii are set aside, those that stay below it with both radii are taken whole, and the
+    others are descended into, or, where the bounds leave most of the pairs of points, compared point by point. With a is
+    b, every pair of nodes comes once.
     """
     limit = math.sqrt(2 - 2 * least)
     slack = 1e-6  # bounds are in floating point; whatever is near them is compared point by point
     same = a is b
     stack = [(0, 0)]
+
+    def points(t: CoverTree, i: int) -> np.ndarray:
+        return t.order[t.range[i][0] : t.range[i][1]]
+
     while stack:
         i, j = stack.pop()
-        d = math.sqrt(max(0.0, 2 - 2 * float(a.x[a.centre[i]] @ b.x[b.centre[j]])))
-        if d - a.radius[i] - b.radius[j] > limit + slack:
-            continue
-        (al, ah), (bl, bh) = a.range[i], b.range[j]
-        if d + a.radius[i] + b.radius[j] < limit - slack:
-            yield a.order[al:ah], b.order[bl:bh], True
-            continue
-        ca, cb = a.children[i], b.children[j]
-        if not ca and not cb:
-            p, q = a.order[al:ah], b.order[bl:bh]
+        own = same and i == j
+        ca, cb = (t.children[k] if len(t.children[k]) else np.array([k]) for t, k in ((a, i), (b, j)))
+        d = np.sqrt(np.maximum(0, 2 - 2 * (a.x[a.centre[ca]] @ b.x[b.centre[cb]].T)))
+        both = a.radius[ca][:, None] + b.radius[cb][None, :]
+        open_ = d - both <= limit + slack
+        if own:
+            open_ = np.triu(open_)
+        whole = open_ & (d + both < limit - slack)
+        if own:
+            np.fill_diagonal(whole, False)
+        left = open_ & ~whole
+        work = (a.size[ca][:, None] * b.size[cb][None, :])[left].sum()
+        if len(ca) == len(cb) == 1 and ca[0] == i and cb[0] == j or 4 * work * (2 if own else 1) >= a.size[i] * b.size[j]:
+            p, q = points(a, i), points(b, j)
             m = a.x[p] @ b.x[q].T >= least
             if m.any():
                 yield p, q, m
-        elif same and i == j:
-            stack += [(x, y) for k, x in enumerate(ca) for y in ca[k:]]
-        elif not cb or ca and a.radius[i] >= b.radius[j]:
-            stack += [(x, j) for x in ca]
-        else:
-            stack += [(i, y) for y in cb]
+            continue
+        for x, y in np.argwhere(whole):
+            yield points(a, ca[x]), points(b, cb[y]), True
+        stack += [(int(ca[x]), int(cb[y])) for x, y in np.argwhere(left)]
 
 
 def link(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,8 +154,7 @@ def link(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, least: floa
     return ca, cb, np.array(edges, np.int64).reshape(-1, 2)
 
 
-ROWS = "array<struct<node:long,weight:long,vector:array<double>>>"
-PACKED = "label int, cell int, block long, width int, centre array<double>, radius double, nodes binary, weights binary, data binary"
+PACKED = "label long, cell int, block long, width int, centre array<double>, radius double, nodes binary, weights binary, data binary"
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -164,31 +168,32 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.withColumn("node", F.when(good, F.xxhash64("label", "vector")))
 
 
-def packed(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Blocks of about `block` nodes (label, node, weight, vector), each one row (PACKED).
+def packed(spark: SparkSession, nodes: DataFrame, block: int = BLOCK, most: int = 64) -> DataFrame:
+    """Blocks of about `block` nodes (label, node, weight, vector; stored), each one row (PACKED).
 
     The upper levels of one cover tree per label and vector length, made by Spark: about one pivot for every `block`
-    nodes, 64 at most, picked by hash, split the label into cells by the nearest pivot; larger cells are split by hash.
-    Nothing is gathered by label: counts are map-side sums, and a join with the pivots can be split where a label is hot.
+    nodes, `most` at most, picked by hash, split a label of more than a block into cells by the nearest pivot; larger
+    cells are split by hash. Counts are map-side sums of ids. What vectors are joined with is stored first, so that the
+    shuffle of a hot label can be split, and they are then dealt by block, not by label.
     """
-    size = F.size("vector")
-    nodes = nodes.withColumn("width", size)
-    count = nodes.groupBy("label", "width").agg(F.count(F.lit(1)).alias("n"))
-    nodes = nodes.join(count, ["label", "width"])
-    step = F.ceil(F.col("n") / F.least(F.lit(64), F.ceil(F.col("n") / block)))
-    pivot = nodes.where((F.col("n") > block) & (F.pmod(F.xxhash64("node"), step) == 0))
-    pivots = pivot.groupBy("label", "width").agg(F.array_sort(F.collect_list("vector")).alias("pivots"))
-    nodes = nodes.drop("n").join(pivots, ["label", "width"], "left")
+    key = ["label", "width"]
+    nodes = nodes.withColumn("width", F.size("vector"))
+    ids = nodes.select("node", *key)
+    big = stored(spark, ids.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block))
+    step = F.ceil(F.col("n") / F.least(F.lit(most), F.ceil(F.col("n") / block)))
+    chosen = ids.join(big, key).where(F.pmod(F.xxhash64("node"), step) == 0).select("node")
+    pivots = stored(spark, nodes.join(chosen, "node", "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list("vector")).alias("pivots")))
 
     def dot(p):
         return F.aggregate(F.zip_with("vector", p, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x) / F.sqrt(F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x * x))
 
     nearest = F.array_max(F.transform("pivots", lambda p, i: F.struct(dot(p).alias("d"), i.alias("i"))))["i"]
-    nodes = nodes.withColumn("cell", F.coalesce(nearest, F.lit(0))).drop("pivots")
-    cells = nodes.groupBy("label", "width", "cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    nodes = nodes.join(cells, ["label", "width", "cell"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
-    rows = nodes.groupBy("label", "width", "cell", "part").agg(F.collect_list(F.struct("node", "weight", "vector")).alias("rows"))
-    rows = rows.select("label", "width", "cell", F.xxhash64("label", "width", "cell", "part").alias("block"), "rows")
+    cells = stored(spark, nodes.join(pivots, key, "left").select("node", *key, F.coalesce(nearest, F.lit(0)).alias("cell")))
+    parts = stored(spark, cells.groupBy(*key, "cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts")))
+    place = cells.join(parts, [*key, "cell"]).select("node", "cell", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).alias("part"))
+    dealt = nodes.join(place, "node").repartition(*key, "cell", "part")
+    rows = dealt.groupBy(*key, "cell", "part").agg(F.collect_list(F.struct("node", "weight", "vector")).alias("rows"))
+    rows = rows.select(*key, "cell", F.xxhash64(*key, "cell", "part").alias("block"), "rows").select("label", "width", "cell", "block", "rows")
 
     def pack(batches):
         for batch in batches:
@@ -252,17 +257,20 @@ def near_classes(spark: SparkSession, rows: DataFrame, least: float = 0.93) -> D
     Rows link where labels are equal and the cosine, in doubles, is at least `least`. Rows of no use (see usable) link
     with nothing; a null vec_id has a null component and isn't kept; repeated rows link with each other and come out as
     often as they occur; vectors of different lengths don't link; an empty table gives no rows; other columns are
-    ignored. Equal vectors are one weighted node, so a group of copies costs what one vector does.
+    ignored. Equal vectors are one weighted node, so a group of copies costs what one vector does. Labels may be of any
+    type that can be hashed; labels and vectors are told apart by 64-bit hashes.
     """
     rows = usable(rows.select("vec_id", "label", "embedding"))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("weight"), F.first("label").cast("int").alias("label"), F.first("vector").alias("vector"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("weight"), F.xxhash64(F.first("label")).alias("label"), F.first("vector").alias("vector"))
     nodes = stored(spark, nodes)
-    found = stored(spark, near_pairs(spark, stored(spark, packed(nodes)), least))
+    found = stored(spark, near_pairs(spark, stored(spark, packed(spark, nodes)), least))
     linked = found.where("b is null").groupBy("a").agg(F.sum("linked").alias("linked")).withColumnRenamed("a", "node")
     member = components(spark, found.where("b is not null").select("a", "b"))
     ids = nodes.select("node", "least_id", "weight").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least_ids = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # Stored: a join of two plain shuffles can be split where a class or a group of copies is hot.
+    least_ids = stored(spark, ids.groupBy("root").agg(F.min("least_id").alias("component_id")))
     ids = ids.join(least_ids, "root").join(linked, "node", "left").select("node", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n"))
+    ids = stored(spark, ids)
     out = rows.select("vec_id", "node").join(ids, "node", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
