@@ -91,7 +91,8 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerpri
 
 
 def with_range(docs: DataFrame, rows: int = 1000) -> DataFrame:
-    """docs with `bucket`: consecutive numbers of ranges of ascending doc_id, -1 for a null id, of about `rows` rows.
+    """docs with `bucket`: consecutive numbers of ranges of ascending doc_id, of about `rows` rows. Rows with a null id are
+    dealt by a hash of their text to numbers below 0.
 
     Borders are approximate quantiles of doc_id; how good they are changes balance only. A row's range is found among
     up to 1024 coarse borders by nested conditions, then among the fine borders between two of those.
@@ -112,28 +113,29 @@ def with_range(docs: DataFrame, rows: int = 1000) -> DataFrame:
     if width > 1:
         fine = F.array(*[F.array(*[F.lit(b) for b in borders[i * width : (i + 1) * width - 1]]).cast("array<bigint>") for i in range(len(coarse) + 1)])
         bucket = bucket * width + F.size(F.filter(F.get(fine, bucket), lambda b: b < F.col("doc_id")))
-    return docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bucket).cast("int"))
+    return docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(k))).otherwise(bucket).cast("int"))
 
 
 def with_successor(docs: DataFrame) -> DataFrame:
     """(bucket, place, doc_id, text, next_text, guest) for docs (doc_id, text): each document beside the next one.
 
-    Order is ascending doc_id (null first), ties by text; after the last comes the first. Documents are dealt out by
+    Order is ascending doc_id, ties by text; after the last comes the first. A null id has no place in the order: next to
+    it is nothing, and it is next to nothing. Documents are dealt out by
     ranges of doc_id, texts moving once; each range also gets the first document of the next range as a guest row,
     which ends its order and is to be dropped by the caller. Which documents are guests is settled on ids, of which the
     driver sees one per range (at most 100,001).
     """
     spark = docs.sparkSession
     placed = with_range(docs)
-    heads = placed.groupBy("bucket").agg(F.min("doc_id").alias("doc_id")).orderBy("bucket").collect()
+    heads = placed.where("doc_id is not null").groupBy("bucket").agg(F.min("doc_id").alias("doc_id")).orderBy("bucket").collect()
     visits = [(b["doc_id"], heads[i - 1]["bucket"]) for i, b in enumerate(heads)]
     visits = F.broadcast(spark.createDataFrame(visits, "head long, host int"))
-    rows = placed.join(visits, placed["doc_id"].eqNullSafe(visits["head"]), "left")
+    rows = placed.join(visits, placed["doc_id"] == visits["head"], "left")
     seat = F.struct(F.col("bucket"), F.lit(False).alias("guest"))
     seats = F.when(F.col("host").isNull(), F.array(seat)).otherwise(F.array(seat, F.struct(F.col("host").alias("bucket"), F.lit(True).alias("guest"))))
     rows = rows.select("doc_id", "text", F.explode(seats).alias("seat")).select("doc_id", "text", "seat.*")
     order = W.partitionBy("bucket").orderBy("guest", "doc_id", "text")
-    return rows.select("bucket", F.row_number().over(order).alias("place"), "doc_id", "text", F.lead("text").over(order).alias("next_text"), "guest")
+    return rows.select("bucket", F.row_number().over(order).alias("place"), "doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.lead("text").over(order)).alias("next_text"), "guest")
 
 
 def op2_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,5 +146,5 @@ def op2_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_successor(docs).withColumn("edited", edited).select("bucket", "place", "guest", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
     rows = with_fingerprint(with_fingerprint(rows), "edited", "edited_fingerprint").drop("text", "edited")
     following = F.lead("fingerprint").over(W.partitionBy("bucket").orderBy("place"))
-    rows = rows.withColumn("following", following).where("not guest")
+    rows = rows.withColumn("following", F.when(F.col("doc_id").isNotNull(), following).otherwise(F.lit(""))).where("not guest")
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("following")).alias("near_next"))

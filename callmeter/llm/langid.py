@@ -53,14 +53,19 @@ def positions(g: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 class Filters:
-    """One Bloom filter per language, bit-sliced: slot s holds a bitmask of the languages whose filter has bit s."""
+    """One Bloom filter per language, bit-sliced: slot s holds a bitmask, in words of 64 bits, of the languages whose filter
+    has bit s."""
 
     def __init__(self, langs: list[str], slots: np.ndarray):
-        self.langs, self.slots, self.bits = langs, slots, int(len(slots) - 1).bit_length()
-        fill = np.array([((slots >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(langs))])
+        self.langs, self.slots, self.bits = langs, slots.reshape(len(slots), -1), int(len(slots) - 1).bit_length()
+        fill = np.array([self._bit(self.slots, i).mean() for i in range(len(langs))])
         self.false = fill**HASHES
         self.enough = bool(len(langs)) and -np.log1p(-np.minimum(fill, 1 - 1e-9)).max() * len(slots) / HASHES >= ENOUGH
 
+    @staticmethod
+    def _bit(masks: np.ndarray, i: int) -> np.ndarray:
+        return masks[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)
+
     def masks(self, g: np.ndarray) -> np.ndarray:
         """The languages whose filter holds each n-gram, as bitmasks."""
         found = [self.slots[p] for p in positions(g, self.bits)]
@@ -72,7 +77,7 @@ class Filters:
         g, of = grams(texts)
         total = np.bincount(of, minlength=len(texts)).astype(float)
         m = self.masks(g) if self.langs else g
-        hits = np.array([np.bincount(of, (m >> np.uint64(i)) & np.uint64(1), len(texts)) for i in range(len(self.langs))])
+        hits = np.array([np.bincount(of, self._bit(m, i), len(texts)) for i in range(len(self.langs))])
         out = []
         for k, n in enumerate(total):
             if not n or not self.langs:
@@ -89,8 +94,8 @@ def learn(docs: DataFrame, share: float = 0.3, least: int = 3, max_bits: int = 2
     `share` of its highest rate in any language.
 
     Counts cover all of docs: each task sums its own, Spark adds them up. The filters' slots are made in Spark too; the
-    driver gets at most 2**max_bits of them, whatever the corpus. Null texts and languages teach nothing; up to 63
-    languages are supported; without any, every text is `und`.
+    driver gets at most 2**max_bits of them, of 64 bits for every 64 languages, whatever the corpus. Null texts and
+    languages teach nothing; without any language, every text is `und`.
     """
     docs = docs.where("lang is not null and text is not null").select("lang", "text")
 
@@ -121,39 +126,46 @@ def learn(docs: DataFrame, share: float = 0.3, least: int = 3, max_bits: int = 2
     counts = docs.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).cache()
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
-    if len(langs) > 63:
-        raise ValueError("more than 63 languages")
     if not langs:
         return Filters([], np.zeros(1 << 10, np.uint64))
     rate = F.col("n") / F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, float(v))])[F.col("lang")]
-    bit = F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, 1 << i)])[F.col("lang")]
-    each = counts.select("gram", "n", rate.alias("rate"), bit.cast("long").alias("bit")).groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("n", "rate", "bit")).alias("each"))
+    number = F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)])[F.col("lang")]
+    each = counts.select("gram", "n", rate.alias("rate"), number.alias("i")).groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("n", "rate", "i")).alias("each"))
     member = F.filter("each", lambda x: (x["n"] >= least) & (x["rate"] >= share * F.col("top")))
-    members = each.select("gram", F.aggregate(member, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["bit"])).alias("mask")).where("mask <> 0")
+    width = -(-len(langs) // 64)
+
+    def word(k: int):
+        bit = lambda x: F.when(F.floor(x["i"] / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), x["i"] % 64)).otherwise(F.lit(0).cast("long"))
+        return F.aggregate("member", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x))).alias(f"mask{k}")
+
+    members = each.select("gram", member.alias("member")).where("size(member) > 0").select("gram", *map(word, range(width)))
     distinct = counts.agg(F.approx_count_distinct("gram")).first()[0]
     bits = min(max_bits, max(10, int(16 * distinct - 1).bit_length()))
 
+    masks = [f"mask{k}" for k in range(width)]
+
     def place(batches):
         for batch in batches:
-            mask = batch.column(1)
             for p in positions(batch.column(0).to_numpy().astype(np.uint64), bits):
-                yield pa.record_batch({"slot": pa.array(p), "mask": mask})
+                yield pa.RecordBatch.from_arrays([pa.array(p), *batch.columns[1:]], names=["slot", *masks])
 
-    found = members.mapInArrow(place, "slot long, mask long").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    found = members.mapInArrow(place, ", ".join(f"{x} long" for x in ["slot", *masks])).groupBy("slot").agg(*[F.expr(f"bit_or({x})").alias(x) for x in masks]).toArrow()
     counts.unpersist()
-    slots = np.zeros(1 << bits, np.uint64)
-    slots[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.uint64)
+    slots = np.zeros((1 << bits, width), np.uint64)
+    for k, x in enumerate(masks):
+        slots[found.column(0).to_numpy(), k] = found.column(x).to_numpy().view(np.uint64)
     return Filters(langs, slots)
 
 
-def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """docs with lang_pred, score, n_grams and held: the language whose filter, corrected for its false positives, holds most of the
-    text's n-grams, its share of all languages' hits, the number of n-grams and the share of them that its filter holds
-    (null where no filter has ENOUGH n-grams). `und` and 0 for null texts and those without a letter; ties go to the
-    first language in order. Repeated rows stay, as do all columns but any of these four names."""
+def predict(docs: DataFrame, filters: Filters, prefix: str = "") -> DataFrame:
+    """docs with lang_pred, score, n_grams and held (after `prefix`): the language whose filter, corrected for its false
+    positives, holds most of the text's n-grams, its share of all languages' hits, the number of n-grams and the share of
+    them that its filter holds (null where no filter has ENOUGH n-grams). `und` and 0 for null texts and those without a
+    letter; ties go to the first language in order. Repeated rows stay, as do all columns but any of these four names."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(filters)
-    kept = docs.drop("lang_pred", "score", "n_grams", "held")
+    names = [prefix + x for x in ("lang_pred", "score", "n_grams", "held")]
+    kept = docs.drop(*names)
     at = kept.columns.index("text")
 
     def run(batches):
@@ -161,9 +173,9 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
             for lo, hi, texts in blocks(batch, at):
                 lang, score, n, held = zip(*shared.value.decide(texts))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(held, pa.float64())], names=[*part.schema.names, "lang_pred", "score", "n_grams", "held"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(held, pa.float64())], names=[*part.schema.names, *names])
 
-    more = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("n_grams", T.LongType()), ("held", T.DoubleType())]
+    more = zip(names, (T.StringType(), T.DoubleType(), T.LongType(), T.DoubleType()))
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(*x) for x in more)]))
 
 

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, stored, table
 
 
 @dataclass(frozen=True)
@@ -124,18 +124,19 @@ def hits_by_blob(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """(path, blob, found) for every row of versions (path, blob): the ledger's findings joined back to every path.
 
-    Only blobs with findings take part, as one row each, so a blob that a third of the paths share meets them without
-    being gathered in one place: the join's large side can be split.
+    Only blobs with findings take part, as one stored row each, so a blob that a third of the paths share meets them
+    without being gathered in one place: a join of two plain shuffles can be split.
     """
     found = F.coalesce("found", F.array().cast("array<struct<start:long,end:long,kind:string>>"))
-    return versions.join(hits_by_blob(ledger, rules), "blob", "left").select("path", "blob", found.alias("found"))
+    return versions.join(stored(versions.sparkSession, hits_by_blob(ledger, rules)), "blob", "left").select("path", "blob", found.alias("found"))
 
 
 def scan_documents(spark: SparkSession, docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """(doc_id, blob, found) for every row of docs (doc_id, text), by the ledger at that path or a new one.
 
     A null text is the empty blob, without findings; a null doc_id is a path like any other; repeated rows come out as
-    often as they occur and are scanned once; an empty table gives none; other columns are ignored.
+    often as they occur (where the path that stands for a blob repeats, so does its scan, to the same ledger entry); an
+    empty table gives none; other columns are ignored.
     """
     versions = docs.select(F.col("doc_id").alias("path"), "text")
     known = update_ledger(spark, versions, ledger or f"{shared_dir(spark)}/{uuid.uuid4().hex}", rules)
@@ -143,13 +144,13 @@ def scan_documents(spark: SparkSession, docs: DataFrame, ledger: str | None = No
 
 
 def redact(spark: SparkSession, docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every finding in text replaced by `mark` (overlapping ones by one) and n_chars as it is then; rows
-    without findings, null texts, null ids and repeated rows stay as they are, and so do all other columns."""
+    """docs with every finding in text replaced by `mark` (overlapping ones by one) and n_chars, if there is such a column,
+    as it is then; rows without findings, null texts, null ids and repeated rows stay as they are, and so do all other
+    columns, whatever their names; an empty table stays empty."""
     columns = docs.columns
-    versions = docs.withColumnRenamed("doc_id", "path")
-    known = update_ledger(spark, versions.select("path", "text"), ledger or f"{shared_dir(spark)}/{uuid.uuid4().hex}", rules)
+    known = update_ledger(spark, docs.select(F.col("doc_id").alias("path"), "text"), ledger or f"{shared_dir(spark)}/{uuid.uuid4().hex}", rules)
     address = F.sha2(F.coalesce("text", F.lit("")), 256)
-    hits = hits_by_blob(known, rules).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
+    hits = stored(spark, hits_by_blob(known, rules)).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -159,7 +160,9 @@ def redact(spark: SparkSession, docs: DataFrame, ledger: str | None = None, rule
     clean = F.aggregate("__found", start, step, lambda acc: F.concat(acc["out"], F.substr("text", (acc["at"] + 1).cast("int"), F.length("text"))))
     joined = docs.withColumn("__blob", address).join(hits, "__blob", "left")
     changed = F.size(F.coalesce("__found", F.array().cast("array<struct<start:long,end:long,kind:string>>"))) > 0
-    joined = joined.withColumn("text", F.when(changed, clean).otherwise(F.col("text"))).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    joined = joined.withColumn("text", F.when(changed, clean).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        joined = joined.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return joined.select(*columns)
 
 

@@ -224,20 +224,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unlabe
     return train(gathered(extracted(positive, wanted)), gathered(extracted(unlabelled, wanted)), prior)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score, the probability that the whole text is toxic. Null and empty texts score as texts without any
-    known feature; repeated rows stay; an empty table stays empty; all columns but any named score stay."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with column `name`, the probability that the whole text is toxic. Null and empty texts score as texts without
+    any known feature; repeated rows stay; an empty table stays empty; all columns but one of that name stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("score")
+    kept = docs.drop(name)
     at = kept.columns.index("text")
 
     def run(batches):
         for batch in batches:
             for lo, hi, texts in blocks(batch, at):
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(texts), pa.float64())], names=[*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(texts), pa.float64())], names=[*part.schema.names, name])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
