@@ -19,20 +19,31 @@ from callmeter.llm.common import stored, table
 FLOOR, SHORT = 0.4, 8
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as tell it apart from the columns of docs."""
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = f"_{name}"
+    return name
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that a model learned from `labels` scores 0.7 or more."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("score < 0.7").select(*docs.columns)
+    """Rejects documents that a model learned from `labels` scores 0.7 or more. Null and empty texts stay, repeated rows
+    fare alike, an empty table stays empty, and other columns stay as they are, whatever their names."""
+    model, mark = toxicity.fit(docs, table(spark, sf_dir, "labels")), unused(docs, "toxicity")
+    return toxicity.score(docs, model, mark).where(F.col(mark) < 0.7).select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no known language: null texts, those without a letter, those of which no language's filter
     holds an n-gram and, from SHORT n-grams on, those of which the best filter holds less than FLOOR of them. Fills in a
     missing lang. Where too little is learned (no text with a lang, or no filter of langid.ENOUGH n-grams), every text
-    with a letter stays; without any language a missing lang stays null."""
-    kept = langid.predict(docs, langid.learn(docs)).where("n_grams > 0")
-    kept = kept.where(F.col("held").isNull() | ((F.col("held") > 0) & ((F.col("n_grams") < SHORT) | (F.col("held") >= FLOOR))))
-    return kept.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit(langid.UNKNOWN)))).select(*docs.columns)
+    with a letter stays; without any language a missing lang stays null. Repeated rows fare alike, an empty table stays
+    empty, and other columns stay as they are, whatever their names."""
+    p = unused(docs, "lang_id_")
+    held, n_grams = F.col(f"{p}held"), F.col(f"{p}n_grams")
+    kept = langid.predict(docs, langid.learn(docs), p).where(n_grams > 0)
+    kept = kept.where(held.isNull() | ((held > 0) & ((n_grams < SHORT) | (held >= FLOOR))))
+    return kept.withColumn("lang", F.coalesce("lang", F.nullif(f"{p}lang_pred", F.lit(langid.UNKNOWN)))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +58,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret found by a mark; no document goes."""
+    """Replaces every secret found by a mark; no document goes. See secrets.redact for nulls and repeated rows."""
     return secrets.redact(spark, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of what is left."""
+    """The packed pieces of what is left: of a null or empty text, its end alone; of repeated rows, each; see packing.pack."""
     return packing.digest(packing.pack(docs))
 
 
@@ -64,6 +75,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that pass the stages, each stage's result being stored; of an empty table, none."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = stored(spark, stage(spark, docs, sf_dir))
