@@ -159,17 +159,17 @@ def _pack(*arrays: np.ndarray) -> bytes:
 
 def _unpack(data: bytes, columns: int) -> np.ndarray:
     raw = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(columns, 4, -1).transpose(0, 2, 1)).view("<u4")[:, :, 0]
+    return np.ascontiguousarray(raw.reshape(columns, 4, -1).transpose(0, 2, 1)).view("<u4")[:, :, 0].copy()
 
 
-def score(corpus: DataFrame, models: Models, hold: int = 1 << 20, bucket_size: int = 250_000) -> DataFrame:
+def score(corpus: DataFrame, models: Models, hold: int = 1 << 20, bucket_size: int = 1 << 20) -> DataFrame:
     """SCHEMA for every row of corpus (doc_id, text, marks) that is ASKED, by the models of the same corpus: the mean loss
     per word, the end being one, under both models, and ce_diff, target less background; lower means more like the target.
 
     Each document's distinct bigrams meet all others of their last word in a bucket: there the corpus's counts and each
     document's losses are summed up. Words and bigrams that are frequent (see Models) don't pile up in one bucket: frequent
     words' bigrams are dealt by bigram, and frequent bigrams are answered where the document is read. Documents
-    travel as blocks of about `hold` bigrams, some ten bytes a bigram; sums come back per document and bucket.
+    travel as blocks of about `hold` bigrams, some eight bytes a bigram; sums come back per document and bucket.
 
     corpus is to give its rows in the same order whenever it is read (a stored table does). Texts without words, and null
     ones, have no loss: zeros, n_tokens 0. Repeated rows come out as often as they occur; a null doc_id stays null; an
