@@ -14,9 +14,21 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# How JSON writes the characters that have a short escape.
+_SHORT = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+
+
+def json_text(c: str | Column) -> Column:
+    """A text as a JSON string: quotes, backslashes and control characters escaped, all else as it is."""
+    out = F.replace(F.replace(_col(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for x in map(chr, range(32)):
+        out = F.replace(out, F.lit(x), F.lit(_SHORT.get(x, f"\\u{ord(x):04x}")))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
 def call_key() -> Column:
     """A call's key as JSON text, for export; inside, the three columns are the key."""
-    return F.concat(F.lit('["'), "session_id", F.lit('",'), F.col("created_at").cast("string"), F.lit(',"'), "attempt_id", F.lit('"]'))
+    return F.concat(F.lit("["), json_text("session_id"), F.lit(","), F.col("created_at").cast("string"), F.lit(","), json_text("attempt_id"), F.lit("]"))
 
 
 def step_key() -> Column:

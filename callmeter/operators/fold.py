@@ -6,12 +6,13 @@ don't shuffle anew. Every state of the fold belongs to one step of one session.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import step_key, usage, utc_day
+from ..functions.columns import same_lifecycle, step_key, usage, utc_day
 from ..schema import STEP
+from ..sources.store import upsert_calls
 
 _SESSION = ("session_id", "created_at")
 _EFFECTIVE = ("start", "end", "retry", "chunk", "message")
@@ -49,8 +50,7 @@ def annotate(live: DataFrame) -> DataFrame:
     by_attempt = W.partitionBy(*_SESSION, "attempt_key").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*STEP).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     e = e.withColumn("attempt_key", attempt)
-    e = e.withColumn("valid_end", (kind == "end") & (F.max(kind == "start").over(by_attempt)))
-    e = e.withColumn("first_start", F.min(F.when(kind == "start", F.struct("seq", "started_at"))).over(by_attempt)).drop("attempt_key")
+    e = e.withColumn("valid_end", (kind == "end") & (F.max(kind == "start").over(by_attempt))).drop("attempt_key")
     opened = F.when(kind == "start", F.col("attempt_id")).when(F.col("valid_end"), "")
     won = F.when(F.col("valid_end") & (F.col("outcome") == "success"), F.col("attempt_id"))
     e = e.withColumn("active", F.nullif(F.last(opened, ignorenulls=True).over(before), F.lit(""))).withColumn("won", won)
@@ -62,59 +62,68 @@ def annotate(live: DataFrame) -> DataFrame:
     return e.drop("earlier", "won")
 
 
-def retry_marks(events: DataFrame) -> DataFrame:
-    """Annotated events with `retried` on starts: whether a retry marked the call. A retry marks the step's failed or
-    aborted call that started last and isn't marked yet (ties: whose start came last).
+def retry_marks(calls: Column, retries: Column) -> Column:
+    """Which of a step's calls its retries mark, as an array of (id, seq of the retry).
 
-    A step's few ends and retries are gathered beside its starts by a window that needs no shuffle or sort of its own,
-    and replayed there.
+    calls: array of structs with attempt_id, first (its start: started_at, seq) and ends (seq, failed), those of calls
+    that began in this step, wherever they ended; retries: array of seqs. A retry marks the failed or aborted call that
+    started last and isn't marked yet (ties: whose start came last). The ends and retries are replayed once per step.
     """
-    failed = F.col("outcome").isin("failure", "aborted")
-    op = F.when(F.col("kind") == "retry", "r").when(failed, "f").otherwise("s")
-    entry = F.struct("seq", op.alias("op"), F.struct(F.col("first_start.started_at").alias("at"), F.col("first_start.seq").alias("seq"), F.col("attempt_id").alias("id")).alias("call"))
-    ops = F.collect_list(F.when(F.col("valid_end") | (F.col("kind") == "retry"), entry)).over(W.partitionBy(*STEP))
-    call = "struct<at:bigint,seq:bigint,id:string>"
-    start = F.struct(F.array().cast(f"array<{call}>").alias("open"), F.array().cast("array<string>").alias("marked"))
+    call, mark = "struct<at:bigint,seq:bigint,id:string>", "array<struct<id:string,seq:bigint>>"
+    ended = F.flatten(F.transform(calls, lambda c: F.transform(c["ends"], lambda x: F.struct(x["seq"].alias("seq"), F.when(x["failed"], "f").otherwise("s").alias("op"), F.struct(c["first"]["started_at"].alias("at"), c["first_seq"].alias("seq"), c["attempt_id"].alias("id")).alias("call")))))
+    asked = F.transform(retries, lambda q: F.struct(q.alias("seq"), F.lit("r").alias("op"), F.lit(None).cast(call).alias("call")))
+    start = F.struct(F.array().cast(f"array<{call}>").alias("open"), F.array().cast(mark).alias("marked"))
 
     def step(s, e):
         others = F.filter(s["open"], lambda c: c["id"] != e["call"]["id"])
         last = F.array_max(s["open"])
-        add = F.when(F.array_contains(s["marked"], e["call"]["id"]), s["open"]).otherwise(F.concat(others, F.array(e["call"])))
+        add = F.when(F.exists(s["marked"], lambda m: m["id"] == e["call"]["id"]), s["open"]).otherwise(F.concat(others, F.array(e["call"])))
         retry = (e["op"] == "r") & last.isNotNull()
         open_ = F.when(e["op"] == "f", add).when(e["op"] == "s", others).when(retry, F.filter(s["open"], lambda c: c["id"] != last["id"])).otherwise(s["open"])
-        return F.struct(open_.alias("open"), F.when(retry, F.concat(s["marked"], F.array(last["id"]))).otherwise(s["marked"]).alias("marked"))
+        return F.struct(open_.alias("open"), F.when(retry, F.concat(s["marked"], F.array(F.struct(last["id"].alias("id"), e["seq"].alias("seq"))))).otherwise(s["marked"]).alias("marked"))
 
-    marked = F.aggregate(F.array_sort("ops"), start, step, lambda s: s["marked"])
-    return events.withColumn("ops", ops).withColumn("retried", F.when(F.col("kind") == "start", F.array_contains(marked, F.col("attempt_id")))).drop("ops")
+    marked = F.aggregate(F.array_sort(F.concat(ended, asked)), start, step, lambda s: s["marked"])
+    return F.when(F.size(retries) > 0, marked).otherwise(F.array().cast(mark))
 
 
 def mark_retries(events: DataFrame) -> DataFrame:
     """(session_id, created_at, attempt_id) of annotated events' calls marked as retried."""
-    return retry_marks(events).where("retried").select("session_id", "created_at", "attempt_id").distinct()
+    return fold_calls(events).where("retry_scheduled").select("session_id", "created_at", "attempt_id")
 
 
 def fold_calls(events: DataFrame) -> DataFrame:
     """annotated events → one row per call (schema.CALLS) and last_seq, the last event that changed it.
 
-    Each event knows the call it changes, so one aggregation by call gives all its fields.
+    Each event knows the call it changes, so one aggregation by call gives all its fields but the mark of a retry. That
+    comes from a second one, by the step in which calls began, which holds a step's calls and is partitioned already.
     """
     kind = F.col("kind")
     is_start, legacy = kind == "start", F.col("legacy").isNotNull()
     target = F.when(is_start | F.col("valid_end"), F.col("attempt_id")).when(kind == "chunk", F.col("active")).when(kind == "message", F.coalesce("legacy", "successful"))
-    e = retry_marks(events).withColumn("call", target).withColumn("usage", usage()).where("call is not null")
+    e = events.withColumn("call", target).withColumn("usage", usage()).withColumn("at", F.when(kind == "retry", F.struct("turn", "step"))).where("call is not null or at is not null")
     opened = F.when(is_start, F.struct("turn", "step", "provider", "model", "started_at", F.lit(None).cast("string").alias("outcome")))
     made = F.when(legacy, F.struct("turn", "step", F.col("route_provider").alias("provider"), F.col("route_model").alias("model"), F.col("event_time").alias("started_at"), F.lit("success").alias("outcome")))
-    calls = e.groupBy("session_id", "created_at", "workspace", F.col("call").alias("attempt_id")).agg(
+    failed = F.coalesce(F.col("outcome").isin("failure", "aborted"), F.lit(False))
+    units = e.groupBy("session_id", "created_at", "workspace", F.col("call").alias("attempt_id"), "at").agg(
         F.min_by(F.coalesce(opened, made), F.when(is_start | legacy, F.col("seq"))).alias("first"),
+        F.min(F.when(is_start | legacy, F.col("seq"))).alias("first_seq"),
         F.max_by("outcome", F.when(F.col("valid_end"), F.col("seq"))).alias("ended"),
-        F.coalesce(F.max("retried"), F.lit(False)).alias("retry_scheduled"),
         F.max_by("usage", F.when((kind == "chunk") & F.col("usage").isNotNull(), F.col("seq"))).alias("provisional_usage"),
         F.max_by("usage", F.when((kind == "message") & F.col("usage").isNotNull(), F.col("seq"))).alias("final_usage"),
         F.max("seq").alias("last_seq"),
-    ).where("first is not null")
+        F.collect_list(F.when(F.col("valid_end"), F.struct("seq", failed.alias("failed")))).alias("ends"),
+        F.collect_list(F.when(kind == "retry", F.col("seq"))).alias("retries"),
+    ).where("first is not null or at is not null")
+    one = F.when(F.col("first").isNotNull(), F.struct("attempt_id", "first", "first_seq", "ended", "provisional_usage", "final_usage", "last_seq", "ends"))
+    steps = units.groupBy("session_id", "created_at", "workspace", F.coalesce("first.turn", "at.turn").alias("turn"), F.coalesce("first.step", "at.step").alias("step")).agg(
+        F.collect_list(one).alias("calls"), F.flatten(F.collect_list("retries")).alias("retries"),
+    )
+    steps = steps.withColumn("marked", retry_marks(F.col("calls"), F.col("retries")))
+    calls = steps.select("session_id", "created_at", "workspace", "marked", F.explode("calls").alias("c")).select("session_id", "created_at", "workspace", "marked", "c.*")
+    mark = F.get(F.filter("marked", lambda m: m["id"] == F.col("attempt_id")), F.lit(0))["seq"]
     return calls.select(
         "session_id", "created_at", "workspace", utc_day("first.started_at").alias("day"), "attempt_id", "first.turn", "first.step", "first.provider", "first.model", "first.started_at",
-        F.coalesce("ended", "first.outcome").alias("outcome"), "retry_scheduled", "provisional_usage", "final_usage", "last_seq",
+        F.coalesce("ended", "first.outcome").alias("outcome"), mark.isNotNull().alias("retry_scheduled"), "provisional_usage", "final_usage", F.greatest("last_seq", mark).alias("last_seq"),
     )
 
 
@@ -123,13 +132,29 @@ def build_calls(log: DataFrame, headers: DataFrame) -> DataFrame:
     return fold_calls(annotate(live_events(log, headers)))
 
 
-def touched_sessions(log: DataFrame, cursor: DataFrame) -> DataFrame:
-    """The whole logs of the sessions that have events beyond their cursor: what an incremental batch folds again."""
-    seen = cursor.groupBy("session_id", "created_at").agg(F.max("observed_seq").alias("observed_seq"))
-    new = log.join(seen, ["session_id", "created_at"], "left").where("seq > coalesce(observed_seq, -1)").select("session_id", "created_at").distinct()
+def touched_sessions(log: DataFrame, headers: DataFrame, cursor: DataFrame) -> DataFrame:
+    """The whole logs of the sessions that have events beyond their cursor: what an incremental batch folds again. A
+    cursor counts only for the same life of its session."""
+    own = headers.select("session_id", F.col("created_at").alias("own_created_at"), F.col("cwd").alias("own_workspace"))
+    same = same_lifecycle(F.col("created_at"), F.col("workspace"), F.col("own_created_at"), F.col("own_workspace"))
+    seen = cursor.join(own, "session_id").where(same).groupBy("session_id", "created_at").agg(F.max("observed_seq").alias("observed_seq"))
+    last = log.groupBy("session_id", "created_at").agg(F.max("seq").alias("seq"))
+    new = last.join(seen, ["session_id", "created_at"], "left").where("seq > coalesce(observed_seq, -1)").select("session_id", "created_at")
     return log.join(new, ["session_id", "created_at"], "left_semi")
 
 
+def replay_from_cursor(spark: SparkSession, log: DataFrame, headers: DataFrame, cursor: DataFrame, path: str, batch: int) -> DataFrame:
+    """Brings the calls store at `path` up to date with log as its batch number `batch`, and returns the new cursor.
+
+    Sessions with events beyond their cursor are folded again as a whole, so that what is stored depends on the log
+    alone; the others aren't touched and keep their cursor. An empty cursor folds everything.
+    """
+    touched = touched_sessions(log, headers, cursor)
+    upsert_calls(build_calls(touched, headers), path, batch)
+    now = session_cursor(touched, headers)
+    return cursor.join(now.select("session_id"), "session_id", "left_anti").unionByName(now)
+
+
 def session_cursor(log: DataFrame, headers: DataFrame) -> DataFrame:
     """Per session with a live event: observed_seq, and maps from step key to its open and to its successful attempt."""
     live = live_events(log, headers)

@@ -77,6 +77,12 @@ def model_breakdown(events: DataFrame, show_provider: bool) -> DataFrame:
     return events.groupBy("model").agg(*figures()).select(F.lit("").alias("provider"), "model", *FIGURES)
 
 
+def model_breakdowns(events: DataFrame) -> DataFrame:
+    """Both breakdowns from one pass: figures by model, with provider '', and by provider and model."""
+    sets = events.groupingSets([["model"], ["provider", "model"]], "provider", "model").agg(F.grouping("provider").alias("merged"), *figures())
+    return sets.select(F.when(F.col("merged") == 1, F.lit("")).otherwise(F.col("provider")).alias("provider"), "model", *FIGURES)
+
+
 def rank_models(rows: DataFrame) -> DataFrame:
     """Rows by total tokens, most first; ties by provider and model."""
     return rows.withColumn("total", total_tokens()).orderBy(F.desc("total"), "provider", "model")

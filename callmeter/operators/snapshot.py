@@ -60,10 +60,11 @@ def event_feed(calls: DataFrame) -> DataFrame:
     return calls.orderBy(*order).select(F.col("started_at").alias("at"), "workspace", "provider", "model", F.coalesce("outcome", F.lit("started")).alias("outcome"), F.col("retry_scheduled").alias("retried"), *[used[c].alias(c) for c in USAGE], *order[1:])
 
 
-def snapshot(spark: SparkSession, calls: DataFrame, request: Request) -> dict[str, DataFrame]:
-    """params, events, models and daily over one selection, which is kept while the parts are used; unpersist
-    snapshot()["selected"] afterwards."""
-    chosen = select_calls(calls, request).persist()
+def snapshot(spark: SparkSession, calls: DataFrame, request: Request, keep: bool = False) -> dict[str, DataFrame]:
+    """params, events, models and daily over one selection. With `keep`, that is cached while the parts are used, and
+    the caller unpersists snapshot()["selected"] afterwards."""
+    chosen = select_calls(calls, request)
+    chosen = chosen.persist() if keep else chosen
     params = spark.range(1).select(
         F.lit(request.workspace).cast("string").alias("workspace"), F.lit(request.days).cast("long").alias("days"), F.lit(request.from_day).alias("from_day"), F.lit(request.through_day).alias("through_day"),
         F.lit(request.time_zone).alias("time_zone"), F.lit(request.as_of.isoformat()).alias("updated_at"),

@@ -172,6 +172,7 @@ SQL: dict[str, str] = {
     "build_calls": on_calls("SELECT * FROM calls"),
     "scan_calls": on_calls(f"SELECT {_KEY}, outcome, {_USED} FROM calls"),
     "stream_calls": on_calls("SELECT * FROM calls"),
+    "replay_from_cursor": on_calls("SELECT * FROM calls"),
     "session_cursor": on_calls(f""", seen AS (SELECT session_id, created_at, workspace, max(seq) AS observed_seq FROM live GROUP BY ALL),
 lasts AS (SELECT session_id, created_at, turn, step, arg_max(coalesce(opens, ''), seq) AS opens FROM marks GROUP BY ALL),
 won AS (SELECT session_id, created_at, turn, step, arg_max(attempt_id, seq) AS won FROM wins2 GROUP BY ALL)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import fold, integrity, panel, snapshot
-from ..schema import CALL_KEY, LOG, USAGE
+from ..schema import CALL_KEY, USAGE
 from ..sources import adapter, store
 from ..streaming import calls as stream
 from .requests import resolve_request
@@ -30,8 +30,13 @@ def query(f):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder that driver and executors share: in spark.checkpoint.dir or, where that is unset and all runs in one
+    process, a local one."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -73,13 +78,20 @@ def panel_rows(spark, d):
     return panel.panel_events(snapshot.event_feed(selected(spark, d))).withColumn("local_day", panel.panel_local_day(REQUEST.time_zone))
 
 
+def kept(spark, rows: DataFrame) -> DataFrame:
+    """rows stored, for those who use them more than once."""
+    path = scratch(spark)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def week(spark, d):
-    rows = panel_rows(spark, d)
+    rows = kept(spark, panel_rows(spark, d))
     return panel.filter_period(rows, 7, panel.infer_end_day(rows))
 
 
 def buckets(spark, d):
-    rows = panel_rows(spark, d)
+    rows = kept(spark, panel_rows(spark, d))
     end = panel.infer_end_day(rows)
     chosen = panel.filter_provider_model(panel.filter_period(rows, 7, end), "p1")
     return panel.buckets_from_events(panel.bucket_spine(spark, end, 7), chosen)
@@ -131,6 +143,17 @@ def session_cursor(spark, d):
     return fold.session_cursor(log(spark, d), headers(spark, d)).select("session_id", "created_at", "workspace", "observed_seq", as_text("active_attempts"), as_text("successful_attempts"))
 
 
+@query
+def replay_from_cursor(spark, d):
+    """The log in two parts, the second folded from the cursor that the first one left."""
+    path, rows, own = scratch(spark), log(spark, d), headers(spark, d)
+    first = rows.where("seq < 40")
+    none = fold.session_cursor(rows, own).where("false")
+    cursor = kept(spark, fold.replay_from_cursor(spark, first, own, none, path, 1))
+    fold.replay_from_cursor(spark, rows, own, cursor, path, 2)
+    return flat(store.scan_calls(spark, path))
+
+
 @query
 def drop_disposed(spark, d):
     cursor = fold.session_cursor(log(spark, d), headers(spark, d))
@@ -359,8 +382,7 @@ def infer_end_day(spark, d):
 
 @query
 def model_breakdown(spark, d):
-    rows = panel_rows(spark, d)
-    return panel.model_breakdown(rows, False).unionByName(panel.model_breakdown(rows, True))
+    return panel.model_breakdowns(panel_rows(spark, d))
 
 
 @query
@@ -457,34 +479,33 @@ def open_at_end(spark, d):
     return integrity.open_at_end(log(spark, d, dirty=True)).select(*_FAULT)
 
 
-# ---- streams: the log arrives in three parts, each session's events in order ----
+# ---- streams: the log arrives in three parts, each session's events in order; the stream stops and goes on between ----
 
 
-def arriving(spark: SparkSession, rows: DataFrame, parts: int = 3) -> DataFrame:
-    """A stream that delivers a log in `parts` micro-batches. The parts share the seqs of every session evenly."""
-    path = scratch(spark)
+def delivered(spark: SparkSession, rows: DataFrame, path: str, parts: int = 3):
+    """Appends a log to the folder `path` in `parts` parts, yielding after each. They share every session's seqs evenly."""
     last = F.max("seq").over(W.partitionBy("session_id", "created_at"))
-    rows = rows.withColumn("part", F.least(F.lit(parts - 1), F.floor(F.col("seq") * parts / (last + 1)))).persist()
+    rows = kept(spark, rows.withColumn("part", F.least(F.lit(parts - 1), F.floor(F.col("seq") * parts / (last + 1)))))
     for i in range(parts):
-        rows.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(path)
-    rows.unpersist()
-    return spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where(F.col("part") == i).drop("part").write.mode("append").parquet(path)
+        yield i
 
 
 @query
 def stream_calls(spark, d):
     stream.use_rocksdb(spark)
-    path = scratch(spark)
-    changed = stream.stream_calls(arriving(spark, log(spark, d)), headers(spark, d))
-    running = stream.write_calls(changed, path, scratch(spark), availableNow=True)
-    running.awaitTermination()
+    source, path, checkpoint = scratch(spark), scratch(spark), scratch(spark)
+    for _ in delivered(spark, log(spark, d), source):
+        changed = stream.stream_calls(store.stream_log(spark, source), headers(spark, d))
+        stream.write_calls(changed, path, checkpoint, availableNow=True).awaitTermination()
     return flat(store.scan_calls(spark, path))
 
 
 @query
 def stream_integrity(spark, d):
     stream.use_rocksdb(spark)
-    path = scratch(spark)
-    faults = stream.stream_integrity(arriving(spark, log(spark, d, dirty=True)))
-    faults.writeStream.outputMode("append").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).format("parquet").start(path).awaitTermination()
+    source, path, checkpoint = scratch(spark), scratch(spark), scratch(spark)
+    for _ in delivered(spark, log(spark, d, dirty=True), source):
+        faults = stream.stream_integrity(store.stream_log(spark, source))
+        faults.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path).awaitTermination()
     return spark.read.parquet(path).select("session_id", "seq", "attempt_id", "fault")

@@ -7,7 +7,8 @@ MEASURES = (*USAGE, "requests", "successful_requests", "failed_requests", "retry
 OUTCOMES = ("success", "failure", "aborted")
 
 HEADERS = "session_id string, created_at bigint, cwd string, seed_length bigint"
-#: One row per event; usage is absent where input_tokens is null. Kinds other than these are of no effect.
+#: One row per event; usage is absent where input_tokens is null. Kinds other than these are of no effect; in a stream,
+#: `disposed` ends a session.
 KINDS = ("header", "context", "start", "end", "retry", "chunk", "message")
 LOG = (
     "session_id string, created_at bigint, seq bigint, event_time bigint, kind string, turn bigint, step bigint, attempt_id string, outcome string, "

@@ -8,13 +8,28 @@ from pyspark.sql import functions as F
 from ..schema import CALL_KEY, CALLS, LOG
 
 
+def _json_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("ignoreCorruptFiles", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").schema(f"{LOG}, corrupt string").json(path)
+
+
 def read_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A stored log with the declared schema. Files that can't be read are skipped; broken JSON lines are set aside."""
-    reader = spark.read.option("ignoreCorruptFiles", "true")
+    """A stored log with the declared schema. Files that can't be read are skipped; broken JSON lines and lines without a
+    session are left out, see broken_lines."""
     if fmt == "json":
-        rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").schema(f"{LOG}, corrupt string").json(path)
-        return rows.where("corrupt is null and session_id is not null").drop("corrupt")
-    return reader.schema(LOG).format(fmt).load(path)
+        return _json_log(spark, path).where("corrupt is null and session_id is not null").drop("corrupt")
+    return spark.read.option("ignoreCorruptFiles", "true").schema(LOG).format(fmt).load(path)
+
+
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line) for every line of a JSON log that read_log leaves out; line is null where it is valid JSON without a
+    session."""
+    rows = _json_log(spark, path).where("corrupt is not null or session_id is null")
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("corrupt").alias("line"), "session_id").drop("session_id")
+
+
+def stream_log(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
+    """The log as a stream of the files that arrive in a folder: sessions' events and, of kind `disposed`, their ends."""
+    return spark.readStream.schema(LOG).options(**options).format(fmt).load(path)
 
 
 def merge_live_cold(cold: DataFrame, live: DataFrame) -> DataFrame:

@@ -11,11 +11,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.columns import utc_day
+from ..operators.snapshot import snapshot
+from ..plans.requests import Request
 from ..schema import CALLS, USAGE
-from ..sources.store import upsert_calls
+from ..sources.store import scan_calls, upsert_calls
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_OUT = "session_id string, created_at bigint, workspace string, attempt_id string, turn bigint, step bigint, provider string, model string, started_at bigint, outcome string, retry_scheduled boolean, provisional array<bigint>, final array<bigint>, last_seq bigint"
+_OUT = (
+    "session_id string, created_at bigint, workspace string, attempt_id string, turn bigint, step bigint, provider string, model string, started_at bigint, outcome string, retry_scheduled boolean, "
+    "provisional array<bigint>, final array<bigint>, last_seq bigint, dropped bigint"
+)
 _FAULTS = "session_id string, created_at bigint, seq bigint, attempt_id string, fault string"
 
 
@@ -28,75 +33,98 @@ def _used(e: Row) -> list | None:
     return None if e["input_tokens"] is None else [e[c] or 0 for c in USAGE]
 
 
+def faults(log: DataFrame) -> DataFrame:
+    """log with `reason`: why the fold can't take an event, null where it can. Such events go to quarantine (see
+    write_calls) and never to a processor, so they fail nothing."""
+    lacks = lambda *cs: F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in cs])
+    needed = F.when(F.col("kind") == "start", lacks("turn", "step", "attempt_id", "provider", "model", "started_at")).when(F.col("kind") == "end", lacks("turn", "step", "attempt_id", "outcome")).when(F.col("kind").isin("retry", "chunk", "message"), lacks("turn", "step"))
+    missing = F.concat_ws(", ", F.nullif(lacks("session_id", "created_at", "seq", "kind"), F.lit("")), F.nullif(needed, F.lit("")))
+    return log.withColumn("reason", F.when(missing != "", F.concat(F.lit("without "), missing)))
+
+
 class CallFold(StatefulProcessor):
-    """Applies a session's events in order of seq, once each, and puts out the calls that a batch changed.
+    """Applies a session's events in order of seq, once each, and puts out the calls that a batch changed, and one row
+    without a call for the number of events that came too late.
 
-    State, as one JSON value: the last seq applied, the route, the open and the successful attempt of each step, and the
-    calls, which a later message or retry may change. It grows with the session until a `disposed` event clears it. An
-    event at or below the last seq is not applied again; a gap is passed over.
+    State: the last seq applied and the route; by step, the open and the successful attempt and the attempts that began
+    there; by attempt, the call, which a later message or retry may change. A batch reads and writes only the steps and
+    calls that its events name. The state grows with the session until a `disposed` event of the same workspace clears
+    it; the calls that were put out stay. An event at or below the last seq is not applied again; a gap is passed over.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("session", "json string")
+        self._session = handle.getValueState("session", "seen bigint, provider string, model string")
+        self._steps = handle.getMapState("steps", "step string", "json string")
+        self._calls = handle.getMapState("calls", "attempt_id string", "json string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        session, created = key
-        s = json.loads(self._state.get()[0]) if self._state.exists() else {"seen": -1, "route": ["unknown", "unknown"], "open": {}, "won": {}, "calls": {}}
+        seen, *route = self._session.get() if self._session.exists() else (-1, "unknown", "unknown")
+        steps, calls = Kept(self._steps), Kept(self._calls)
         changed: dict[str, None] = {}
-        workspace, disposed = None, False
+        workspace, disposed, dropped = None, False, 0
         for e in sorted(rows, key=lambda r: r["seq"]):
             workspace, seq = e["workspace"], e["seq"]
-            if e["kind"] == "disposed":
-                disposed = True
-            if seq <= s["seen"]:
+            if seq <= seen:
+                dropped += 1
                 continue
-            s["seen"] = seq
+            seen = seq
+            disposed = disposed or e["kind"] == "disposed"
             if e["kind"] in ("header", "context"):
-                s["route"] = [e["provider"], e["model"]]
-            if seq >= (e["seed_length"] or 0) and (name := self._apply(s, e)):
-                s["calls"][name]["seq"] = seq
+                route = [e["provider"], e["model"]]
+            if seq >= (e["seed_length"] or 0) and (name := self._apply(steps, calls, route, e)):
+                calls[name]["seq"] = seq
                 changed[name] = None
+        blank = dict.fromkeys(c.split()[0] for c in _OUT.split(", ")) | {"session_id": key[0], "created_at": key[1], "workspace": workspace}
         for name in changed:
-            c = s["calls"][name]
-            yield Row(session_id=session, created_at=created, workspace=workspace, attempt_id=name, turn=c["turn"], step=c["step"], provider=c["route"][0], model=c["route"][1], started_at=c["at"], outcome=c["outcome"], retry_scheduled=c["retried"], provisional=c["prov"], final=c["fin"], last_seq=c["seq"])
+            c = calls[name]
+            yield Row(**blank | {"attempt_id": name, "turn": c["turn"], "step": c["step"], "provider": c["route"][0], "model": c["route"][1], "started_at": c["at"], "outcome": c["outcome"], "retry_scheduled": c["retried"], "provisional": c["prov"], "final": c["fin"], "last_seq": c["seq"]})
+        if dropped:
+            yield Row(**blank | {"last_seq": seen, "dropped": dropped})
         if disposed:
-            self._state.clear()
+            for state in (self._session, self._steps, self._calls):
+                state.clear()
         else:
-            self._state.update((json.dumps(s),))
+            self._session.update((seen, *route))
+            steps.write()
+            calls.write()
 
     @staticmethod
-    def _apply(s: dict, e: Row) -> str | None:
+    def _apply(steps: Kept, calls: Kept, route: list, e: Row) -> str | None:
         """The call that an event changes, if any."""
-        kind, step, calls = e["kind"], f"{e['turn']}:{e['step']}", s["calls"]
+        kind, at = e["kind"], f"{e['turn']}:{e['step']}"
+        if kind not in ("start", "end", "chunk", "message", "retry"):
+            return None
+        step = steps.get(at) or steps.put(at, {"open": None, "won": None, "began": []})
 
         def new(name: str, route: list, at: int, outcome: str | None) -> None:
-            calls[name] = {"turn": e["turn"], "step": e["step"], "route": route, "at": at, "outcome": outcome, "retried": False, "prov": None, "fin": None, "first": e["seq"]}
+            calls.put(name, {"turn": e["turn"], "step": e["step"], "route": route, "at": at, "outcome": outcome, "retried": False, "prov": None, "fin": None, "first": e["seq"]})
+            step["began"].append(name)
 
         if kind == "start":
-            s["open"][step] = name = e["attempt_id"]
-            if name not in calls:
+            step["open"] = name = e["attempt_id"]
+            if calls.get(name) is None:
                 new(name, [e["provider"], e["model"]], e["started_at"], None)
             return name
-        if kind == "end" and (name := e["attempt_id"]) in calls:
+        if kind == "end" and calls.get(name := e["attempt_id"]) is not None:
             calls[name]["outcome"] = e["outcome"]
-            s["open"].pop(step, None)
+            step["open"] = None
             if e["outcome"] == "success":
-                s["won"][step] = name
+                step["won"] = name
             return name
-        if kind == "chunk" and (used := _used(e)) and (name := s["open"].get(step)):
-            calls[name]["prov"] = used
+        if kind == "chunk" and (used := _used(e)) and (name := step["open"]):
+            calls.get(name)["prov"] = used
             return name
         if kind == "message":
-            name, used = s["won"].get(step), _used(e)
-            if name is None and step not in s["open"]:
-                s["won"][step] = name = f"legacy:{step}"
-                new(name, s["route"], e["event_time"], "success")
+            name, used = step["won"], _used(e)
+            if name is None and step["open"] is None:
+                step["won"] = name = f"legacy:{at}"
+                new(name, list(route), e["event_time"], "success")
             elif name is None or used is None:
                 return None
-            calls[name]["fin"] = used or calls[name]["fin"]
+            calls.get(name)["fin"] = used or calls.get(name)["fin"]
             return name
         if kind == "retry":
-            failed = [(c["at"], c["first"], n) for n, c in calls.items() if (c["turn"], c["step"]) == (e["turn"], e["step"]) and c["outcome"] in ("failure", "aborted") and not c["retried"]]
+            failed = [(c["at"], c["first"], n) for n in step["began"] if (c := calls.get(n))["outcome"] in ("failure", "aborted") and not c["retried"]]
             if failed:
                 calls[name := max(failed)[2]]["retried"] = True
                 return name
@@ -106,27 +134,71 @@ class CallFold(StatefulProcessor):
         pass
 
 
+class Kept:
+    """A map state of JSON values as a batch uses it: each key is read once and written once."""
+
+    def __init__(self, state):
+        self._state, self._held = state, {}
+
+    def get(self, key: str) -> dict | None:
+        if key not in self._held:
+            self._held[key] = json.loads(self._state.getValue((key,))[0]) if self._state.containsKey((key,)) else None
+        return self._held[key]
+
+    def __getitem__(self, key: str) -> dict:
+        return self.get(key)
+
+    def put(self, key: str, value: dict) -> dict:
+        self._held[key] = value
+        return value
+
+    def write(self) -> None:
+        for key, value in self._held.items():
+            if value is not None:
+                self._state.updateValue((key,), (json.dumps(value),))
+
+
 def stream_calls(log: DataFrame, headers: DataFrame) -> DataFrame:
-    """Changed calls (schema.CALLS, last_seq) of a streaming log. headers is a static table, joined by session."""
+    """Changed calls (schema.CALLS, last_seq) of a streaming log; rows without an attempt_id count, in `dropped`, a
+    session's events that came too late. headers is a static table, joined by session. Events that the fold can't take
+    (see faults) are left out."""
     own = headers.select("session_id", "created_at", F.col("cwd").alias("workspace"), "seed_length")
-    rows = log.join(own, ["session_id", "created_at"], "left").groupBy("session_id", "created_at").transformWithState(CallFold(), _OUT, "Update", "None")
+    good = faults(log).where("reason is null").drop("reason")
+    rows = good.join(own, ["session_id", "created_at"], "left").groupBy("session_id", "created_at").transformWithState(CallFold(), _OUT, "Update", "None")
 
     def used(c: str):
         return F.when(F.col(c).isNotNull(), F.struct(*[F.get(c, F.lit(i)).alias(n) for i, n in enumerate(USAGE)]))
 
     names = [c.split()[0] for c in CALLS.split(", ")]
     full = rows.withColumn("day", utc_day("started_at")).withColumn("provisional_usage", used("provisional")).withColumn("final_usage", used("final"))
-    return full.select(*names, "last_seq")
+    return full.select(*names, "last_seq", "dropped")
 
 
-def write_calls(calls: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Upserts a stream of changed calls into a store; a repeated batch replaces itself."""
+def write_calls(calls: DataFrame, path: str, checkpoint: str, late: str | None = None, **trigger) -> StreamingQuery:
+    """Upserts a stream of changed calls into a store; a repeated batch replaces itself. With `late`, the numbers of events
+    that came too late go there, by batch (session_id, created_at, dropped)."""
     def put(batch: DataFrame, number: int) -> None:
-        upsert_calls(batch, path, number)
+        batch.persist()
+        upsert_calls(batch.where("attempt_id is not null").drop("dropped"), path, number)
+        if late:
+            batch.where("dropped > 0").select("session_id", "created_at", "dropped").write.mode("overwrite").parquet(f"{late}/batch_id={number}")
+        batch.unpersist()
 
     return calls.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(**trigger).start()
 
 
+def write_quarantine(log: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Appends the events of a streaming log that the fold can't take to `path`, with the reason."""
+    bad = faults(log).where("reason is not null")
+    return bad.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(**trigger).format("parquet").start(path)
+
+
+def snapshot_after_drain(spark: SparkSession, running: StreamingQuery, path: str, request: Request, keep: bool = False) -> dict[str, DataFrame]:
+    """A snapshot of the calls store once all that has arrived is in it."""
+    running.processAllAvailable()
+    return snapshot(spark, scan_calls(spark, path), request, keep)
+
+
 class Integrity(StatefulProcessor):
     """Checks starts and ends as they arrive; the state maps an open attempt to its start's fields."""
 
@@ -154,5 +226,7 @@ class Integrity(StatefulProcessor):
 
 
 def stream_integrity(log: DataFrame) -> DataFrame:
-    """(session_id, created_at, seq, attempt_id, fault) of a streaming log."""
+    """(session_id, created_at, seq, attempt_id, fault) of a streaming log, without the events that have no place in it (see
+    faults)."""
+    log = faults(log).where("reason is null").drop("reason")
     return log.groupBy("session_id", "created_at").transformWithState(Integrity(), _FAULTS, "Append", "None")
