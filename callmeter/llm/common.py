@@ -136,30 +136,34 @@ class Forest:
             self.edges.append((x, y))
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+def spanning(batches):
+    """Batches of edges (a, b) reduced to a forest that joins the same nodes: as a whole, what a task has."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        a, b = (np.concatenate(x) for x in zip(*held))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        forest = Forest(len(nodes))
+        for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
+            forest.unite(x, y)
+        root = np.array([forest.find(i) for i in range(len(nodes))])
+        other = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.record_batch({"a": pa.array(nodes[other]), "b": pa.array(nodes[root[other]])})
+
+
+def components(spark: SparkSession, edges: DataFrame, reduced: bool = False) -> DataFrame:
     """(node, root) for every node of edges (a, b), root the smallest node reachable.
 
-    Each partition's edges are first reduced to a forest. Then come alternating large-star and small-star rounds: each
-    keeps a number of edges linear in the input, groups only with map-side minima, and is stored in the shared folder.
-    It ends when every node has one edge and leads to a node without any. Minima are stored before edges meet them: a
-    join of two plain shuffles can be split where a node has very many edges.
+    Each partition's edges are first reduced to a forest, unless `reduced` says that they are (a producer in Python does
+    it itself, so that a task needs one Python worker, not two). Then come alternating large-star and small-star rounds:
+    each keeps a number of edges linear in the input, groups only with map-side minima, and is stored in the shared
+    folder. It ends when every node has one edge and leads to a node without any. Minima are stored before edges meet
+    them: a join of two plain shuffles can be split where a node has very many edges.
     """
-    def reduced(batches):
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if held:
-            a, b = (np.concatenate(x) for x in zip(*held))
-            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-            forest = Forest(len(nodes))
-            for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
-                forest.unite(x, y)
-            root = np.array([forest.find(i) for i in range(len(nodes))])
-            other = np.flatnonzero(root != np.arange(len(nodes)))
-            yield pa.record_batch({"a": pa.array(nodes[other]), "b": pa.array(nodes[root[other]])})
-
     def minima(e: DataFrame) -> DataFrame:
         return stored(spark, e.groupBy("a").agg(F.min("b").alias("m")))
 
-    e = stored(spark, edges.where("a <> b").select("a", "b").mapInArrow(reduced, "a long, b long"))
+    e = edges.where("a <> b").select("a", "b")
+    e = stored(spark, e if reduced else e.mapInArrow(spanning, "a long, b long"))
     while True:
         ends = e.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         if ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").limit(1).count() == 0:
