@@ -145,7 +145,7 @@ def spanning(batches):
         forest = Forest(len(nodes))
         for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
             forest.unite(x, y)
-        root = np.array([forest.find(i) for i in range(len(nodes))])
+        root = np.array([forest.find(i) for i in range(len(nodes))], np.int64)
         other = np.flatnonzero(root != np.arange(len(nodes)))
         yield pa.record_batch({"a": pa.array(nodes[other]), "b": pa.array(nodes[root[other]])})
 
