@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,22 @@ def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row(spark: SparkSession, docs: DataFrame, name: str = "row") -> DataFrame:
+    """docs with column `name`, a number of each row's own that stays the same whenever docs are read again.
+
+    For rows scanned from Parquet files it is a 64-bit hash of the file and the row's place in it. Other docs are stored
+    first, with a number.
+    """
+    kept = [c for c in docs.columns if c != name]
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.select(*kept, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+        except AnalysisException as e:
+            if not (e.getCondition() or "").startswith(("UNRESOLVED_COLUMN", "FIELD_NOT_FOUND")):
+                raise
+    return stored(spark, docs.select(*kept, F.monotonically_increasing_id().alias(name)))
+
+
 # ---- 64-bit hashing in numpy; equal on every worker and in every run ----
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

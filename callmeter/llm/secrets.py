@@ -121,14 +121,20 @@ def hits_by_blob(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return hits.select("blob", F.array_sort(F.array_distinct(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))).alias("found"))
 
 
+def met(left: DataFrame, hits: DataFrame, on: str, most: int = 100_000) -> DataFrame:
+    """left with what the blobs' stored hits say: up to `most` of them are broadcast; beyond that both sides are shuffled,
+    plainly, so that the shuffle can be split where a blob is hot."""
+    return left.join(F.broadcast(hits) if hits.count() <= most else hits, on, "left")
+
+
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """(path, blob, found) for every row of versions (path, blob): the ledger's findings joined back to every path.
 
     Only blobs with findings take part, as one stored row each, so a blob that a third of the paths share meets them
-    without being gathered in one place: a join of two plain shuffles can be split.
+    without being gathered in one place.
     """
     found = F.coalesce("found", F.array().cast("array<struct<start:long,end:long,kind:string>>"))
-    return versions.join(stored(versions.sparkSession, hits_by_blob(ledger, rules)), "blob", "left").select("path", "blob", found.alias("found"))
+    return met(versions, stored(versions.sparkSession, hits_by_blob(ledger, rules)), "blob").select("path", "blob", found.alias("found"))
 
 
 def scan_documents(spark: SparkSession, docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
@@ -158,7 +164,7 @@ def redact(spark: SparkSession, docs: DataFrame, ledger: str | None = None, rule
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     clean = F.aggregate("__found", start, step, lambda acc: F.concat(acc["out"], F.substr("text", (acc["at"] + 1).cast("int"), F.length("text"))))
-    joined = docs.withColumn("__blob", address).join(hits, "__blob", "left")
+    joined = met(docs.withColumn("__blob", address), hits, "__blob")
     changed = F.size(F.coalesce("__found", F.array().cast("array<struct<start:long,end:long,kind:string>>"))) > 0
     joined = joined.withColumn("text", F.when(changed, clean).otherwise(F.col("text")))
     if "n_chars" in columns:
