@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callmeter.llm import jaccard, langid, packing, secrets, toxicity
-from callmeter.llm.common import stored, table
+from callmeter.llm.common import stored, table, with_row
 
 
 #: The share of its n-grams that a document's best language must hold, and from how many n-grams on. In the given tables
@@ -50,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one row of each class of documents linked by a Jaccard similarity of 0.8 or more of their five-word
     shingles: that of the smallest doc_id, one without an id only where all lack it, any of those that repeat it. All
     rows take part, each by a number of its own. Documents without words are all kept."""
-    rows = stored(spark, docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    rows = with_row(spark, docs.select(F.struct(*docs.columns).alias("doc")))
     classes = jaccard.near_rows(spark, rows.select("row", "doc.doc_id", "doc.text"), words=5, num=80, den=100)
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
     kept = classes.groupBy(F.coalesce("root", "row"), F.col("root").isNull()).agg(first["row"].alias("row")).select("row")
