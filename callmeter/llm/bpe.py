@@ -6,6 +6,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ SCHEMA = "doc_id long, n_tokens long, ids string, decoded string"
 WORDS = 5
 
 
-def cuts(raw: np.ndarray, window: int = 32, mean: int = 1024) -> np.ndarray:
+def cuts(raw: np.ndarray, window: int = 32, mean: int = 2048) -> np.ndarray:
     """Content-defined cut positions: where a hash of the last `window` bytes falls under a share of 1 / mean.
 
     The hash rolls: it comes from running sums, so a position's hash depends on its window alone, wherever it lies.
@@ -75,7 +76,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.number, self.token = [str(i) for i in range(size)], [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.number, self.token = pa.array([str(i) for i in range(size)]), pa.array([self.tokenizer.id_to_token(i) or "" for i in range(size)])
         self.chunks: dict[bytes, np.ndarray] = {}
         self.joins: dict[tuple[bytes, bytes], tuple[int, np.ndarray, int] | None] = {}
         self.max_bytes, self.held = max_bytes, 0
@@ -145,6 +146,12 @@ class Encoder:
         return out
 
 
+def joined(names: pa.Array, ids: list[np.ndarray]) -> pa.Array:
+    """Each text's ids by name, joined by one space."""
+    cut = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(cut), names.take(pa.array(np.concatenate(ids)))), " ")
+
+
 def encode(docs: DataFrame, tokenizer: str | None = None, batch_chars: int = 1 << 20) -> DataFrame:
     """Encodes and decodes docs (doc_id, text): SCHEMA, with the ids in decimal joined by one space.
 
@@ -162,9 +169,8 @@ def encode(docs: DataFrame, tokenizer: str | None = None, batch_chars: int = 1 <
                 texts.append(text.as_py() or "")
                 size += len(texts[-1])
                 if size >= batch_chars or i + 1 == batch.num_rows:
-                    every = [x.tolist() for x in encoder.encode(texts)]
-                    numbers, decoded = ([" ".join(map(names.__getitem__, x)) for x in every] for names in (encoder.number, encoder.token))
-                    yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array([*map(len, every)], pa.int64()), "ids": pa.array(numbers, pa.string()), "decoded": pa.array(decoded, pa.string())})
+                    every = encoder.encode(texts)
+                    yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array([*map(len, every)], pa.int64()), "ids": joined(encoder.number, every), "decoded": joined(encoder.token, every)})
                     ids, texts, size = [], [], 0
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
