@@ -142,7 +142,8 @@ class Kept:
 
     def get(self, key: str) -> dict | None:
         if key not in self._held:
-            self._held[key] = json.loads(self._state.getValue((key,))[0]) if self._state.containsKey((key,)) else None
+            found = self._state.getValue((key,))
+            self._held[key] = None if found is None else json.loads(found[0])
         return self._held[key]
 
     def __getitem__(self, key: str) -> dict:
