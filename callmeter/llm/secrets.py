@@ -137,15 +137,20 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = B
     return met(versions, stored(versions.sparkSession, hits_by_blob(ledger, rules)), "blob").select("path", "blob", found.alias("found"))
 
 
-def scan_documents(spark: SparkSession, docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
+def scan_documents(spark: SparkSession, docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, rounds: int = 2) -> DataFrame:
     """(doc_id, blob, found) for every row of docs (doc_id, text), by the ledger at that path or a new one.
 
+    The rows come in `rounds` shares by a hash of doc_id, each of which meets the ledger that the former ones filled: what
+    they share is scanned once, a round shuffles its own texts only, and a run that fails leaves its finished rounds in
+    the ledger, so that the next one with the same ledger scans the rest.
+
     A null text is the empty blob, without findings; a null doc_id is a path like any other; repeated rows come out as
     often as they occur (where the path that stands for a blob repeats, so does its scan, to the same ledger entry); an
     empty table gives none; other columns are ignored.
     """
-    versions = docs.select(F.col("doc_id").alias("path"), "text")
-    known = update_ledger(spark, versions, ledger or f"{shared_dir(spark)}/{uuid.uuid4().hex}", rules)
+    versions, path = docs.select(F.col("doc_id").alias("path"), "text"), ledger or f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    for i in range(rounds):
+        known = update_ledger(spark, versions.where(F.pmod(F.xxhash64("path"), F.lit(rounds)) == i), path, rules)
     return findings(with_blobs(versions).select("path", "blob"), known, rules).withColumnRenamed("path", "doc_id")
 
 
