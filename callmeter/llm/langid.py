@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, table
+from .common import mix, stored, table, with_row
 
 UNKNOWN = "und"
 HASHES = 3
@@ -52,15 +52,35 @@ def positions(g: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((h + np.uint64(i) * step) & np.uint64((1 << bits) - 1)).astype(np.int64) for i in range(HASHES)]
 
 
-class Filters:
+class Languages:
+    """How a text's language follows from its hits: `fill` is the share of its `size` slots that each language's filter has."""
+
+    def __init__(self, langs: list[str], fill: np.ndarray, size: int):
+        self.langs, self.bits, self.false = langs, int(size - 1).bit_length(), fill**HASHES
+        self.enough = bool(len(langs)) and -np.log1p(-np.minimum(fill, 1 - 1e-9)).max() * size / HASHES >= ENOUGH
+
+    def choose(self, total: np.ndarray, hits: np.ndarray) -> list[tuple[str, float, int, float | None]]:
+        """Each text's language, its share of all hits, the number of n-grams and which share of them the language's
+        filter holds, corrected for false positives (None where too little is learned), from the number of n-grams and of
+        each language's hits."""
+        out = []
+        for n, found in zip(total, hits):
+            if not n or not self.langs:
+                out.append((UNKNOWN, 0.0, int(n), 0.0 if self.enough else None))
+                continue
+            right = np.maximum(0, (found - n * self.false) / np.maximum(1e-9, 1 - self.false))
+            best = int(np.argmax(right))
+            out.append((self.langs[best], float(right[best] / right.sum()) if right.sum() else 0.0, int(n), float(right[best] / n) if self.enough else None))
+        return out
+
+
+class Filters(Languages):
     """One Bloom filter per language, bit-sliced: slot s holds a bitmask, in words of 64 bits, of the languages whose filter
     has bit s."""
 
     def __init__(self, langs: list[str], slots: np.ndarray):
-        self.langs, self.slots, self.bits = langs, slots.reshape(len(slots), -1), int(len(slots) - 1).bit_length()
-        fill = np.array([self._bit(self.slots, i).mean() for i in range(len(langs))])
-        self.false = fill**HASHES
-        self.enough = bool(len(langs)) and -np.log1p(-np.minimum(fill, 1 - 1e-9)).max() * len(slots) / HASHES >= ENOUGH
+        self.slots = slots.reshape(len(slots), -1)
+        super().__init__(langs, np.array([self._bit(self.slots, i).mean() for i in range(len(langs))]), len(slots))
 
     @staticmethod
     def _bit(masks: np.ndarray, i: int) -> np.ndarray:
@@ -72,30 +92,67 @@ class Filters:
         return found[0] & found[1] & found[2]
 
     def decide(self, texts: list[str]) -> list[tuple[str, float, int, float | None]]:
-        """Each text's language, its share of all hits, the number of n-grams and which share of them the language's
-        filter holds, corrected for false positives (None where too little is learned)."""
+        """What `choose` says of each text."""
         g, of = grams(texts)
         total = np.bincount(of, minlength=len(texts)).astype(float)
         m = self.masks(g) if self.langs else g
         hits = np.array([np.bincount(of, self._bit(m, i), len(texts)) for i in range(len(self.langs))])
-        out = []
-        for k, n in enumerate(total):
-            if not n or not self.langs:
-                out.append((UNKNOWN, 0.0, int(n), 0.0 if self.enough else None))
-                continue
-            right = np.maximum(0, (hits[:, k] - n * self.false) / np.maximum(1e-9, 1 - self.false))
-            best = int(np.argmax(right))
-            out.append((self.langs[best], float(right[best] / right.sum()) if right.sum() else 0.0, int(n), float(right[best] / n) if self.enough else None))
-        return out
+        return self.choose(total, hits.reshape(len(self.langs), len(texts)).T)
+
 
+class SlotTable:
+    """The same filters with their slots in a stored Spark table (slot, mask0, mask1...), for alphabets whose n-grams are
+    too many for the driver."""
 
-def learn(docs: DataFrame, share: float = 0.3, least: int = 3, max_bits: int = 22) -> Filters:
+    def __init__(self, langs: list[str], slots: DataFrame, bits: int):
+        self.slots, self.masks = slots, slots.columns[1:]
+        held = [F.sum(self._bit(i)) for i in range(len(langs))]
+        self.languages = Languages(langs, np.array([x or 0 for x in slots.agg(*held).first()]) / 2.0**bits, 1 << bits)
+
+    @staticmethod
+    def _bit(i: int):
+        return F.shiftrightunsigned(f"mask{i // 64}", i % 64).bitwiseAND(F.lit(1))
+
+    def hits(self, texts: DataFrame, row: str) -> DataFrame:
+        """(row, n, hits) of each text with a letter: its n-grams and each language's hits. Each distinct n-gram looks its
+        slots up once; then the texts' n-grams meet those that are held, by a plain join, which can be split where an
+        n-gram is in most texts."""
+        bits = self.languages.bits
+
+        def count(batches):
+            for batch in batches:
+                rows = batch.column(0).to_numpy()
+                for lo, _, some in blocks(batch, 1):
+                    g, of = grams(some)
+                    order = np.lexsort((g, of))
+                    g, of = g[order], of[order]
+                    first = np.flatnonzero(np.concatenate([[len(g) > 0], (g[1:] != g[:-1]) | (of[1:] != of[:-1])])[: len(g)])
+                    n = np.diff(first, append=len(g))
+                    for i in range(0, len(first), 50_000):
+                        at = first[i : i + 50_000]
+                        yield pa.record_batch({row: pa.array(rows[lo + of[at]]), "gram": pa.array(g[at].astype(np.int64)), "n": pa.array(n[i : i + 50_000])})
+
+        def place(batches):
+            for batch in batches:
+                for p in positions(batch.column(0).to_numpy().astype(np.uint64), bits):
+                    yield pa.record_batch({"gram": batch.column(0), "slot": pa.array(p)})
+
+        every = texts.select(row, "text").mapInArrow(count, f"`{row}` long, gram long, n long")
+        asked = every.select("gram").distinct().mapInArrow(place, "gram long, slot long").join(self.slots, "slot")
+        held = asked.groupBy("gram").agg(F.count("*").alias("found"), *[F.expr(f"bit_and({m})").alias(m) for m in self.masks]).where(F.col("found") == HASHES).drop("found")
+        met = every.join(held, "gram", "left")
+        sums = [F.coalesce(F.sum(F.col("n") * self._bit(i)), F.lit(0)).cast("double") for i in range(len(self.languages.langs))]
+        return met.groupBy(row).agg(F.sum("n").alias("n"), F.array(*sums).alias("hits"))
+
+
+def learn(docs: DataFrame, share: float = 0.3, least: int = 3, max_bits: int = 22) -> Filters | SlotTable:
     """Filters from docs (text, lang): a language has an n-gram seen `least` times or more whose rate there is at least
     `share` of its highest rate in any language.
 
-    Counts cover all of docs: each task sums its own, Spark adds them up. The filters' slots are made in Spark too; the
-    driver gets at most 2**max_bits of them, of 64 bits for every 64 languages, whatever the corpus. Null texts and
-    languages teach nothing; without any language, every text is `und`.
+    Counts cover all of docs: each task sums its own, Spark adds them up. The filters grow with the n-grams they hold, 16
+    slots for each. Their slots are made in Spark too; up to 2**max_bits of them, of 64 bits for every 64 languages, come
+    to the driver and from there to every task, more stay a table (SlotTable). Null texts and languages teach nothing;
+    without any language, every text is `und`.
     """
     docs = docs.where("lang is not null and text is not null").select("lang", "text")
 
@@ -139,8 +196,7 @@ def learn(docs: DataFrame, share: float = 0.3, least: int = 3, max_bits: int = 2
         return F.aggregate("member", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x))).alias(f"mask{k}")
 
     members = each.select("gram", member.alias("member")).where("size(member) > 0").select("gram", *map(word, range(width)))
-    distinct = counts.agg(F.approx_count_distinct("gram")).first()[0]
-    bits = min(max_bits, max(10, int(16 * distinct - 1).bit_length()))
+    bits = max(10, int(16 * members.count() - 1).bit_length())
 
     masks = [f"mask{k}" for k in range(width)]
 
@@ -149,7 +205,12 @@ def learn(docs: DataFrame, share: float = 0.3, least: int = 3, max_bits: int = 2
             for p in positions(batch.column(0).to_numpy().astype(np.uint64), bits):
                 yield pa.RecordBatch.from_arrays([pa.array(p), *batch.columns[1:]], names=["slot", *masks])
 
-    found = members.mapInArrow(place, ", ".join(f"{x} long" for x in ["slot", *masks])).groupBy("slot").agg(*[F.expr(f"bit_or({x})").alias(x) for x in masks]).toArrow()
+    found = members.mapInArrow(place, ", ".join(f"{x} long" for x in ["slot", *masks])).groupBy("slot").agg(*[F.expr(f"bit_or({x})").alias(x) for x in masks])
+    if bits > max_bits:
+        found = stored(docs.sparkSession, found)
+        counts.unpersist()
+        return SlotTable(langs, found, bits)
+    found = found.toArrow()
     counts.unpersist()
     slots = np.zeros((1 << bits, width), np.uint64)
     for k, x in enumerate(masks):
@@ -157,15 +218,17 @@ def learn(docs: DataFrame, share: float = 0.3, least: int = 3, max_bits: int = 2
     return Filters(langs, slots)
 
 
-def predict(docs: DataFrame, filters: Filters, prefix: str = "") -> DataFrame:
+def predict(docs: DataFrame, filters: Filters | SlotTable, prefix: str = "") -> DataFrame:
     """docs with lang_pred, score, n_grams and held (after `prefix`): the language whose filter, corrected for its false
     positives, holds most of the text's n-grams, its share of all languages' hits, the number of n-grams and the share of
     them that its filter holds (null where no filter has ENOUGH n-grams). `und` and 0 for null texts and those without a
     letter; ties go to the first language in order. Repeated rows stay, as do all columns but any of these four names."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(filters)
     names = [prefix + x for x in ("lang_pred", "score", "n_grams", "held")]
     kept = docs.drop(*names)
+    if isinstance(filters, SlotTable):
+        return _predict_by_table(kept, filters, names)
+    shared = spark.sparkContext.broadcast(filters)
     at = kept.columns.index("text")
 
     def run(batches):
@@ -179,6 +242,24 @@ def predict(docs: DataFrame, filters: Filters, prefix: str = "") -> DataFrame:
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(*x) for x in more)]))
 
 
+def _predict_by_table(docs: DataFrame, filters: SlotTable, names: list[str]) -> DataFrame:
+    """docs with what the slot table says of each text, by a number of each row's own."""
+    row = "_" * (1 + max(map(len, [*docs.columns, *names]))) + "row"
+    known = filters.languages
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column(1).to_numpy().astype(float)
+            lang, score, count, held = zip(*known.choose(n, np.array(batch.column(2).to_pylist())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(count, pa.int64()), pa.array(held, pa.float64())], names=[row, *names])
+
+    rows = with_row(docs.sparkSession, docs, row)
+    types = ("string", "double", "long", "double")
+    said = filters.hits(rows, row).mapInArrow(run, ", ".join(f"`{x}` {t}" for x, t in zip([row, *names], ("long", *types))))
+    rest = (F.lit(UNKNOWN), F.lit(0.0), F.lit(0).cast("long"), F.lit(0.0 if known.enough else None).cast("double"))
+    return rows.join(said, row, "left").select(*docs.columns, *[F.coalesce(x, y).alias(x) for x, y in zip(names, rest)])
+
+
 def held_out(modulus: int, remainder: int):
     """Whether crc32 of the row's doc_id as text leaves this remainder; false for a null doc_id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
