@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, jaccard, langid, lmscore, packing, pii, secrets, toxicity, vectors
+from . import bpe, fim, fingerprints, jaccard, langid, lmscore, packing, pii, secrets, toxicity, vectors
 
 QUERIES = {
     "op1_toxicity_nnpu": toxicity.op1_toxicity_nnpu,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_blob_ledger": secrets.op8_blob_ledger,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
     "op10_bpe_chunk_reuse": bpe.op10_bpe_chunk_reuse,
+    "op11_exception_index_fim": fim.op11_exception_index_fim,
 }
 
 _AZ = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -47,4 +48,11 @@ SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links, c
     "op8_blob_ledger": f"""WITH f AS (SELECT doc_id, list_sort(list_concat({', '.join(_found(r, i) for i, r in enumerate(_RULES))})) AS s FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
 SELECT doc_id, {', '.join(f"CAST(len(list_filter(s, lambda x: x.kind = '{r.kind}')) AS BIGINT) AS n_{r.kind}" for r in secrets.BASE_RULES)},
   sha256({_JOINED.format(f"list_filter(s, lambda x: x.rank < {len(secrets.BASE_RULES)})")}) AS base_sha256, {_JOINED.format('s')} AS spans FROM f""",
+    "op11_exception_index_fim": """WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM t),
+c AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b, CAST('0x' || h[17:24] AS BIGINT) % 100 AS c, CAST('0x' || h[25:32] AS BIGINT) % 100 AS d FROM u),
+p AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS prefix, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS middle, array_to_string(u[greatest(a, b) + 1:], '') AS suffix,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 50 THEN 'plain' WHEN d < 80 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
 }
