@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fim, fingerprints, jaccard, langid, lmscore, packing, pii, repair, secrets, toxicity, vectors
+from . import bpe, fim, fingerprints, jaccard, langid, lmscore, packing, pii, repair, secrets, toxicity, urls, vectors
 
 QUERIES = {
     "op1_toxicity_nnpu": toxicity.op1_toxicity_nnpu,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_bpe_chunk_reuse": bpe.op10_bpe_chunk_reuse,
     "op11_exception_index_fim": fim.op11_exception_index_fim,
     "op12_prefix_doubling_repair": repair.op12_prefix_doubling_repair,
+    "op13_association_rules": urls.op13_association_rules,
 }
 
 _AZ = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
