@@ -14,10 +14,22 @@ LOG = (
     "session_id string, created_at bigint, seq bigint, event_time bigint, kind string, turn bigint, step bigint, attempt_id string, outcome string, "
     "provider string, model string, started_at bigint, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, cache_write_tokens bigint"
 )
-_USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_read_tokens:bigint,cache_write_tokens:bigint>"
+CALL_USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_read_tokens:bigint,cache_write_tokens:bigint>"
 CALLS = (
     "session_id string, created_at bigint, workspace string, day string, attempt_id string, turn bigint, step bigint, provider string, model string, "
-    f"started_at bigint, outcome string, retry_scheduled boolean, provisional_usage {_USAGE}, final_usage {_USAGE}"
+    f"started_at bigint, outcome string, retry_scheduled boolean, provisional_usage {CALL_USAGE}, final_usage {CALL_USAGE}"
 )
 CALL_KEY = ("session_id", "created_at", "attempt_id")
 STEP = ("session_id", "created_at", "turn", "step")
+#: A stored call also has the seqs of the events that made it and changed it last.
+PROGRESS = "first_seq bigint, last_seq bigint"
+CURSOR = "session_id string, created_at bigint, workspace string, observed_seq bigint, route_provider string, route_model string, active_attempts map<string,string>, successful_attempts map<string,string>"
+
+
+def names(schema: str) -> list[str]:
+    """The column names of a flat schema, whose types may have commas inside brackets."""
+    out, depth = [""], 0
+    for c in schema:
+        depth += (c in "<(") - (c in ">)")
+        out = [*out, ""] if c == "," and not depth else [*out[:-1], out[-1] + c]
+    return [x.split()[0] for x in out]

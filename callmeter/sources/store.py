@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import CALL_KEY, CALLS, LOG
+from ..schema import CALL_KEY, CALLS, LOG, PROGRESS, names
 
 
 def _json_log(spark: SparkSession, path: str) -> DataFrame:
@@ -48,26 +49,32 @@ def upsert_calls(calls: DataFrame, path: str, batch: int) -> None:
     calls.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch_id={batch}")
 
 
-def scan_calls(spark: SparkSession, path: str) -> DataFrame:
-    """The latest state of every call."""
-    rows = spark.read.option("basePath", path).schema(f"{CALLS}, last_seq bigint, batch_id bigint").parquet(path)
-    return latest_calls(rows, "last_seq", "batch_id")
+def scan_calls(spark: SparkSession, path: str, before: int | None = None, progress: bool = False) -> DataFrame:
+    """The latest state of every call (schema.CALLS; with `progress`, first_seq and last_seq as well). before: of the
+    batches with smaller numbers only. A store that isn't there yet has no calls."""
+    stored = f"{CALLS}, {PROGRESS}, batch_id bigint"
+    try:
+        rows = spark.read.option("basePath", path).schema(stored).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], stored)
+    last = latest_calls(rows if before is None else rows.where(F.col("batch_id") < before))
+    return last if progress else last.drop(*names(PROGRESS))
 
 
-def latest_calls(rows: DataFrame, *order: str) -> DataFrame:
-    """Of each call key the last row in order; rows are first reduced where they are. A call's day never changes, so it
-    is a key as well: filters on it reach the scan and prune its partitions."""
+def latest_calls(rows: DataFrame) -> DataFrame:
+    """Of each call key the row with the last last_seq, or batch_id; rows are first reduced where they are. A call's day
+    never changes, so it is a key as well: filters on it reach the scan and prune its partitions."""
     key = (*CALL_KEY, "day")
-    kept = [c for c in rows.columns if c not in (*key, *order)]
-    last = rows.groupBy(*key).agg(F.max_by(F.struct(*kept), F.struct(*order)).alias("r"))
-    return last.select(*key, "r.*")
+    kept = [c for c in rows.columns if c not in (*key, "batch_id")]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*kept), F.struct("last_seq", "batch_id")).alias("r"))
+    return last.select(*key, "r.*").select(*[c for c in rows.columns if c != "batch_id"])
 
 
 def compact_calls(spark: SparkSession, path: str, target: str) -> None:
     """Rewrites a calls store, one row per call, to another path."""
-    rows = spark.read.option("basePath", path).schema(f"{CALLS}, last_seq bigint, batch_id bigint").parquet(path)
-    last = rows.groupBy(*CALL_KEY).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in CALL_KEY]), F.struct("last_seq", "batch_id")).alias("r"))
-    upsert_calls(last.select(*CALL_KEY, "r.*").drop("batch_id"), target, 0)
+    upsert_calls(scan_calls(spark, path, progress=True), target, 0)
 
 
 def write_marts(parts: dict[str, DataFrame], path: str) -> None:
