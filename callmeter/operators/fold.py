@@ -64,18 +64,19 @@ def huge_sessions(log: DataFrame, most: int = MOST) -> DataFrame:
     return log.groupBy(*_SESSION).agg(F.count(F.lit(1)).alias("events")).where(F.col("events") > most).select(*_SESSION)
 
 
-def live_events(log: DataFrame, headers: DataFrame, seeds: DataFrame | None = None, huge: DataFrame | None = None, span: int = SPAN) -> DataFrame:
+def live_events(log: DataFrame, headers: DataFrame, seeds: DataFrame | None = None, huge: bool = False, span: int = SPAN) -> DataFrame:
     """The good events a session doesn't inherit, with their route and the session's workspace, and `seed`,
-    which is null on them. seeds: rows of what was folded before. huge: that log and seeds are of these sessions, so that
-    they are dealt by ranges of seq."""
-    own = headers.select(*_SESSION, F.col("cwd").alias("workspace"), "seed_length")
-    if huge is not None:
-        own = own.join(huge, [*_SESSION], "left_semi")
-        log = log.withColumn("range", F.floor(F.col("seq") / span))
+    which is null on them. seeds: rows of what was folded before. huge: sessions are dealt by ranges
+    of `span` seqs."""
+    own, key = headers.select(*_SESSION, F.col("cwd").alias("workspace"), "seed_length"), [*_SESSION]
     rows = good_events(log).withColumn("seed", F.lit(None).cast(_SEED))
     if seeds is not None:
-        rows = rows.unionByName(seeds if huge is None else seeds.withColumn("range", F.floor(F.col("seq") / span)), allowMissingColumns=True)
-    return carry_route(rows).join(own, [*_SESSION], "left").where("seq >= coalesce(seed_length, 0) or seed is not null")
+        rows = rows.unionByName(seeds, allowMissingColumns=True)
+    if huge:  # headers meet ranges first, so that events meet them range by range
+        rows, key = rows.withColumn("range", F.floor(F.col("seq") / span)), [*_SESSION, "range"]
+        own = rows.select(*key).distinct().join(own, [*_SESSION], "left")
+        return carry_route(rows.join(own, key, "left")).where("seq >= coalesce(seed_length, 0) or seed is not null")
+    return carry_route(rows).join(own, key, "left").where("seq >= coalesce(seed_length, 0) or seed is not null")
 
 
 def annotate(live: DataFrame) -> DataFrame:
@@ -211,14 +212,14 @@ def build_calls(log: DataFrame, headers: DataFrame, most: int | None = None, spa
     most: sessions of more events are dealt to many tasks, by `span` seqs, by steps and by calls, apart from the others.
     Whether there are any is counted first; where there is none, all goes the ordinary way.
     """
-    def fold(rows: DataFrame, huge: DataFrame | None) -> DataFrame:
+    def fold(rows: DataFrame, huge: bool) -> DataFrame:
         return fold_calls(annotate(live_events(rows, headers, huge=huge, span=span))).drop("changed")
 
     huge = None if most is None else huge_sessions(log, most)
     if huge is None or huge.isEmpty():
-        return fold(log, None)
+        return fold(log, False)
     ordinary, large = (log.join(F.broadcast(huge), [*_SESSION], how) for how in ("left_anti", "left_semi"))
-    return fold(ordinary, None).unionByName(fold(large, huge))
+    return fold(ordinary, False).unionByName(fold(large, True))
 
 
 def _cursor(live: DataFrame) -> DataFrame:
@@ -287,7 +288,7 @@ def resume(log: DataFrame, headers: DataFrame, cursor: DataFrame, calls: DataFra
     touched = good_events(new).select(*_SESSION).distinct()
     at = same_life(cursor, headers).join(touched, [*_SESSION], "left_semi")
     seeds = seed_rows(at, calls.join(at.select(*_SESSION), [*_SESSION], "left_semi"))
-    huge = None if most is None or huge_sessions(new, most).isEmpty() else touched
+    huge = most is not None and not huge_sessions(new, most).isEmpty()
     live = live_events(new, headers, seeds, huge, span)
     now = _cursor(live)
     others = cursor.join(now.select("session_id"), "session_id", "left_anti")

@@ -57,8 +57,14 @@ def validate_calls(calls: DataFrame) -> DataFrame:
 
 
 def validate_cursor(cursor: DataFrame) -> DataFrame:
-    """cursor with one boolean per rule and `valid`."""
-    out = cursor.select("*", F.col("session_id").isNotNull().alias("ok_session"), F.coalesce(F.col("created_at") >= 0, F.lit(False)).alias("ok_created"), F.coalesce(F.col("observed_seq") >= -1, F.lit(False)).alias("ok_seq"))
-    return out.withColumn("valid", F.expr("ok_session and ok_created and ok_seq"))
-
+    """cursor with one boolean per rule and `valid`. The maps have to lead from a step key to an attempt's id."""
+    def ok_map(c: str) -> Column:
+        entry = lambda k, v: k.rlike(r"^\d+:\d+$") & v.isNotNull()
+        return F.coalesce(F.size(F.map_filter(c, lambda k, v: ~entry(k, v))) == 0, F.lit(False)) & F.col(c).isNotNull()
 
+    rules = {
+        "ok_session": F.col("session_id").isNotNull(), "ok_created": _count("created_at"), "ok_seq": F.col("observed_seq") >= -1,
+        "ok_active": ok_map("active_attempts"), "ok_successful": ok_map("successful_attempts"),
+    }
+    out = cursor.select("*", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in rules.items()])
+    return out.withColumn("valid", F.expr(" and ".join(rules)))

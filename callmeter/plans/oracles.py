@@ -141,10 +141,24 @@ _INTEGRITY = """, att AS (
   FROM log WHERE kind IN ('start', 'end') WINDOW w AS (PARTITION BY session_id, created_at, attempt_id ORDER BY seq))
 SELECT session_id, seq, attempt_id, turn, step FROM att WHERE """
 _BAD = """SELECT session_id, CASE WHEN started_at % 11 = 0 THEN -created_at ELSE created_at END AS created_at, CASE WHEN started_at % 7 = 0 THEN '' ELSE day END AS day, attempt_id, CASE WHEN started_at % 5 = 0 THEN -1 - turn ELSE turn END AS turn,
-  step, provider, model, started_at, CASE WHEN started_at % 13 = 0 THEN 'bad' ELSE outcome END AS outcome FROM calls"""
+  step, provider, model, started_at, CASE WHEN started_at % 13 = 0 THEN 'bad' ELSE outcome END AS outcome, f_input FROM calls"""
 _COMPACT = """CASE WHEN {x} < 1000 THEN CAST({x} AS VARCHAR) ELSE (SELECT rtrim(rtrim((r // 100) || '.' || lpad(CAST(r % 100 AS VARCHAR), 2, '0'), '0'), '.') || u
   FROM (SELECT (CAST({x} AS HUGEINT) * 100 + m // 2) // m AS r, u, below FROM (VALUES (1000, 999995, 'K'), (1000000, 999995000, 'M'), (1000000000, 999995000000, 'B'), (1000000000000, 9223372036854775807, 'T')) t(m, below, u))
   WHERE {x} < below ORDER BY below LIMIT 1) END"""
+_CURSOR = f""", seen AS (SELECT session_id, created_at, workspace, max(seq) AS observed_seq FROM live GROUP BY ALL),
+lasts AS (SELECT session_id, created_at, turn, step, arg_max(coalesce(opens, ''), seq) AS opens FROM marks GROUP BY ALL),
+won AS (SELECT session_id, created_at, turn, step, arg_max(attempt_id, seq) AS won FROM wins2 GROUP BY ALL),
+cursor AS (SELECT s.*, coalesce((SELECT string_agg(turn || ':' || step || '=' || opens, ',' ORDER BY turn || ':' || step) FROM lasts l WHERE {_SAME.format(a='l', b='s')} AND opens <> ''), '') AS active_attempts,
+  coalesce((SELECT string_agg(turn || ':' || step || '=' || won, ',' ORDER BY turn || ':' || step) FROM won l WHERE {_SAME.format(a='l', b='s')}), '') AS successful_attempts FROM seen s)"""
+_SPOILED = """
+hit AS (SELECT *, CASE WHEN (seq * 31 + event_time) % 7 = 0 THEN (seq * 31 + event_time) & 7 ELSE -1 END AS n FROM whole),
+judged AS (SELECT *, concat_ws(', ', CASE WHEN kind IN ('start', 'end', 'retry', 'chunk', 'message') AND turn IS NULL THEN 'without turn' END, CASE WHEN step < 0 THEN 'negative step' END,
+    CASE WHEN kind IN ('start', 'end') AND attempt_id IS NULL THEN 'without attempt_id' END, CASE WHEN kind IN ('start', 'header', 'context') AND provider IS NULL THEN 'without provider' END,
+    CASE WHEN kind = 'start' AND started_at < 0 THEN 'negative started_at' END, CASE WHEN kind = 'end' AND outcome = 'lost' THEN 'unknown outcome' END,
+    CASE WHEN input_tokens IS NOT NULL AND output_tokens IS NULL THEN 'without output_tokens' END, CASE WHEN output_tokens < 0 THEN 'negative output_tokens' END) AS reason
+  FROM (SELECT * REPLACE (CASE WHEN n <> 0 THEN turn END AS turn, CASE WHEN n = 1 THEN -1 - step ELSE step END AS step, CASE WHEN n <> 2 THEN attempt_id END AS attempt_id, CASE WHEN n <> 3 THEN provider END AS provider,
+    CASE WHEN n = 4 THEN -1 - started_at ELSE started_at END AS started_at, CASE WHEN n = 5 THEN -1 - output_tokens WHEN n <> 6 THEN output_tokens END AS output_tokens, CASE WHEN n = 7 THEN CASE WHEN kind IS NOT NULL THEN 'lost' END ELSE outcome END AS outcome) FROM hit)),
+log AS (SELECT * FROM judged WHERE reason = '')"""
 
 SQL: dict[str, str] = {
     "read_log": on_log("SELECT * FROM log"),
@@ -173,15 +187,17 @@ SQL: dict[str, str] = {
     "scan_calls": on_calls(f"SELECT {_KEY}, outcome, {_USED} FROM calls"),
     "stream_calls": on_calls("SELECT * FROM calls"),
     "replay_from_cursor": on_calls("SELECT * FROM calls"),
-    "session_cursor": on_calls(f""", seen AS (SELECT session_id, created_at, workspace, max(seq) AS observed_seq FROM live GROUP BY ALL),
-lasts AS (SELECT session_id, created_at, turn, step, arg_max(coalesce(opens, ''), seq) AS opens FROM marks GROUP BY ALL),
-won AS (SELECT session_id, created_at, turn, step, arg_max(attempt_id, seq) AS won FROM wins2 GROUP BY ALL)
-SELECT s.*, coalesce((SELECT string_agg(turn || ':' || step || '=' || opens, ',' ORDER BY turn || ':' || step) FROM lasts l WHERE {_SAME.format(a='l', b='s')} AND opens <> ''), '') AS active_attempts,
-  coalesce((SELECT string_agg(turn || ':' || step || '=' || won, ',' ORDER BY turn || ':' || step) FROM won l WHERE {_SAME.format(a='l', b='s')}), '') AS successful_attempts FROM seen s"""),
+    "stream_from_batch": on_calls("SELECT * FROM calls"),
+    "isolation": f"""WITH {CLEAN.replace("log AS (", "whole AS (")},{_SPOILED},{FOLD}
+SELECT 'call' AS part, session_id, attempt_id, outcome, retry_scheduled, p_input, p_output, f_input, f_output FROM calls
+UNION ALL SELECT 'bad: ' || reason, session_id, NULL, NULL, NULL, count(*), NULL, NULL, NULL FROM judged WHERE reason <> '' GROUP BY reason, session_id""",
+    "session_cursor": on_calls(f"{_CURSOR} SELECT * FROM cursor"),
+    "stream_cursor": on_calls(f"{_CURSOR} SELECT c.*, r.route_provider, r.route_model FROM cursor c JOIN live r USING (session_id, created_at) WHERE r.seq = c.observed_seq"),
     "drop_disposed": on_calls("SELECT session_id, created_at, workspace, max(seq) AS observed_seq FROM live WHERE NOT (CAST(session_id AS BIGINT) % 3 = 0 AND CAST(session_id AS BIGINT) % 2 = 1) GROUP BY ALL"),
-    "validate_calls": on_calls(f"""SELECT session_id, attempt_id, ok_numbers, ok_texts, ok_day, ok_outcome, ok_numbers AND ok_texts AND ok_day AND ok_outcome AS valid FROM (SELECT *, created_at >= 0 AND turn >= 0 AND step >= 0 AND started_at >= 0 AS ok_numbers, true AS ok_texts,
-  regexp_full_match(day, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS ok_day, outcome IS NULL OR outcome IN ('success', 'failure', 'aborted') AS ok_outcome FROM ({_BAD}))"""),
-    "validate_cursor": on_calls("SELECT session_id, CAST(session_id AS BIGINT) % 4 <> 0 AS ok_seq, CAST(session_id AS BIGINT) % 4 <> 0 AS valid FROM live GROUP BY session_id"),
+    "validate_calls": on_calls(f"""SELECT session_id, attempt_id, ok_numbers, ok_texts, ok_day, ok_outcome, ok_usage, ok_numbers AND ok_texts AND ok_day AND ok_outcome AND ok_usage AS valid FROM (SELECT *, created_at >= 0 AND turn >= 0 AND step >= 0 AND started_at >= 0 AS ok_numbers, true AS ok_texts,
+  regexp_full_match(day, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS ok_day, outcome IS NULL OR outcome IN ('success', 'failure', 'aborted') AS ok_outcome, started_at % 3 <> 0 OR f_input IS NULL AS ok_usage FROM ({_BAD}))"""),
+    "validate_cursor": on_calls(f"""{_CURSOR} SELECT session_id, ok_seq, ok_active, ok_successful, ok_seq AND ok_active AND ok_successful AS valid FROM (
+  SELECT session_id, id % 4 <> 0 AS ok_seq, id % 3 <> 0 AS ok_active, id % 5 <> 0 OR successful_attempts = '' AS ok_successful FROM (SELECT *, CAST(session_id AS BIGINT) AS id FROM cursor))"""),
     "attempt_measures": on_calls(f"""SELECT {_KEY}, coalesce(input_tokens, 0) AS input_tokens, coalesce(output_tokens, 0) AS output_tokens, coalesce(cache_read_tokens, 0) AS cache_read_tokens, coalesce(cache_write_tokens, 0) AS cache_write_tokens, 1::BIGINT AS requests,
   CASE WHEN outcome = 'success' THEN 1 ELSE 0 END::BIGINT AS successful_requests, CASE WHEN outcome IN ('failure', 'aborted') THEN 1 ELSE 0 END::BIGINT AS failed_requests, retry_scheduled::INT::BIGINT AS retry_requests,
   (input_tokens IS NOT NULL)::INT::BIGINT AS metered_requests, (input_tokens IS NULL)::INT::BIGINT AS unmetered_requests FROM measured"""),

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import fold, integrity, panel, snapshot
+from ..operators import fold, intake, integrity, panel, snapshot
 from ..schema import CALL_KEY, USAGE
 from ..sources import adapter, store
 from ..streaming import calls as stream
@@ -146,7 +146,7 @@ def session_cursor(spark, d):
 @query
 def replay_from_cursor(spark, d):
     """The log in two parts, the second folded from the cursor that the first one left."""
-    path, rows, own = scratch(spark), log(spark, d), headers(spark, d)
+    path, rows, own = scratch(spark), kept(spark, log(spark, d)), kept(spark, headers(spark, d))
     first = rows.where("seq < 40")
     none = fold.session_cursor(rows, own).where("false")
     cursor = kept(spark, fold.replay_from_cursor(spark, first, own, none, path, 1))
@@ -154,6 +154,26 @@ def replay_from_cursor(spark, d):
     return flat(store.scan_calls(spark, path))
 
 
+def spoiled(spark, d):
+    """The log with an event in seven spoiled: a field missing or negative, or an outcome that there isn't."""
+    rows, fault = log(spark, d), F.col("seq") * 31 + F.col("event_time")
+    nth = lambda n: (fault % 7 == 0) & (fault.bitwiseAND(7) == n)
+    gone = lambda c, n: F.when(~nth(n), F.col(c))
+    less = lambda c, n: F.when(nth(n), -1 - F.col(c)).otherwise(F.col(c))
+    return rows.withColumns({
+        "turn": gone("turn", 0), "step": less("step", 1), "attempt_id": gone("attempt_id", 2), "provider": gone("provider", 3), "started_at": less("started_at", 4),
+        "output_tokens": F.when(nth(5), -1 - F.col("output_tokens")).when(~nth(6), F.col("output_tokens")), "outcome": F.when(nth(7), "lost").otherwise(F.col("outcome")),
+    })
+
+
+@query
+def isolation(spark, d):
+    """The calls of a spoiled log, good and bad events told apart in one pass, and how many bad ones each session has."""
+    good, bad = intake.split_log(spark, spoiled(spark, d), scratch(spark))
+    found = flat(fold.build_calls(good, headers(spark, d))).select(F.lit("call").alias("part"), "session_id", "attempt_id", "outcome", "retry_scheduled", "p_input", "p_output", "f_input", "f_output")
+    return found.unionByName(bad.groupBy(F.concat(F.lit("bad: "), "reason").alias("part"), "session_id").agg(F.count(F.lit(1)).alias("p_input")), allowMissingColumns=True)
+
+
 @query
 def drop_disposed(spark, d):
     cursor = fold.session_cursor(log(spark, d), headers(spark, d))
@@ -168,15 +188,22 @@ def validate_calls(spark, d):
     bad = calls(spark, d).withColumns({
         "created_at": F.when(s % 11 == 0, -F.col("created_at")).otherwise(F.col("created_at")), "day": F.when(s % 7 == 0, "").otherwise(F.col("day")),
         "turn": F.when(s % 5 == 0, -1 - F.col("turn")).otherwise(F.col("turn")), "outcome": F.when(s % 13 == 0, "bad").otherwise(F.col("outcome")),
+        "final_usage": F.when(s % 3 == 0, F.col("final_usage").withField("output_tokens", -1 - F.col("final_usage.output_tokens"))).otherwise(F.col("final_usage")),
     })
-    return integrity.validate_calls(bad).select("session_id", "attempt_id", "ok_numbers", "ok_texts", "ok_day", "ok_outcome", "valid")
+    return integrity.validate_calls(bad).select("session_id", "attempt_id", "ok_numbers", "ok_texts", "ok_day", "ok_outcome", "ok_usage", "valid")
 
 
 @query
 def validate_cursor(spark, d):
+    """Cursors some of which have a bad seq, a key that is no step, or an attempt without an id."""
     cursor = fold.session_cursor(log(spark, d), headers(spark, d))
-    bad = cursor.withColumn("observed_seq", F.when(F.col("session_id").cast("long") % 4 == 0, -2).otherwise(F.col("observed_seq")))
-    return integrity.validate_cursor(bad).select("session_id", "ok_seq", "valid")
+    s = F.col("session_id").cast("long")
+    bad = cursor.withColumns({
+        "observed_seq": F.when(s % 4 == 0, -2).otherwise(F.col("observed_seq")),
+        "active_attempts": F.when(s % 3 == 0, F.map_concat("active_attempts", F.create_map(F.lit("first"), F.lit("a")))).otherwise(F.col("active_attempts")),
+        "successful_attempts": F.when(s % 5 == 0, F.transform_values("successful_attempts", lambda k, v: F.lit(None).cast("string"))).otherwise(F.col("successful_attempts")),
+    })
+    return integrity.validate_cursor(bad).select("session_id", "ok_seq", "ok_active", "ok_successful", "valid")
 
 
 # ---- the fold ----
@@ -501,6 +528,31 @@ def stream_calls(spark, d):
     return flat(store.scan_calls(spark, path))
 
 
+@query
+def stream_from_batch(spark, d):
+    """A batch folds the first third of every session, a stream that starts from its cursor and calls the rest."""
+    stream.use_rocksdb(spark)
+    source, path, checkpoint, own, rows = scratch(spark), scratch(spark), scratch(spark), headers(spark, d), kept(spark, log(spark, d))
+    early = F.col("seq") < F.floor(F.max("seq").over(W.partitionBy("session_id", "created_at")) / 3)
+    rows = kept(spark, rows.withColumn("early", early))
+    first = rows.where("early").drop("early")
+    store.upsert_calls(fold.build_calls(first, own), path, -1)
+    rows.where("not early").drop("early").write.parquet(source)
+    changed = stream.stream_calls(store.stream_log(spark, source), own, kept(spark, fold.session_cursor(first, own)), store.scan_calls(spark, path, progress=True))
+    stream.write_calls(changed, path, checkpoint, availableNow=True).awaitTermination()
+    return flat(store.scan_calls(spark, path))
+
+
+@query
+def stream_cursor(spark, d):
+    """The cursor of a stream that has taken the whole log, from its state."""
+    stream.use_rocksdb(spark)
+    source, path, checkpoint = scratch(spark), scratch(spark), scratch(spark)
+    log(spark, d).write.parquet(source)
+    stream.write_calls(stream.stream_calls(store.stream_log(spark, source), headers(spark, d)), path, checkpoint, availableNow=True).awaitTermination()
+    return stream.stream_cursor(spark, checkpoint).select("session_id", "created_at", "workspace", "observed_seq", "route_provider", "route_model", as_text("active_attempts"), as_text("successful_attempts"))
+
+
 @query
 def stream_integrity(spark, d):
     stream.use_rocksdb(spark)
