@@ -62,11 +62,12 @@ t AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM s),
 links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
 {_REACH}
 SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(m, doc_id) AS component_id, (SELECT count(*) FROM links l WHERE l.a = s.doc_id) AS n_links FROM s LEFT JOIN least ON s.doc_id = least.a""",
-    "op6_cover_tree": f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
-{_REACH}
-SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) = vec_id AS kept FROM v LEFT JOIN least ON v.vec_id = least.a""",
+    "op6_cover_tree": """WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT r, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.label = b.label AND a.r <> b.r WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+reach AS (SELECT DISTINCT a, a AS b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(vec_id) AS m FROM reach JOIN v ON b = r GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = r) AS n_links, coalesce(m, vec_id) AS component_id, coalesce(coalesce(m, vec_id) = vec_id, false) AS kept FROM v LEFT JOIN least ON r = least.a""",
     "op8_blob_ledger": f"""WITH f AS (SELECT doc_id, list_sort(list_concat({', '.join(_found(r, i) for i, r in enumerate(_RULES))})) AS s FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
 SELECT doc_id, {', '.join(f"CAST(len(list_filter(s, lambda x: x.kind = '{r.kind}')) AS BIGINT) AS n_{r.kind}" for r in secrets.BASE_RULES)},
   sha256({_JOINED.format(f"list_filter(s, lambda x: x.rank < {len(secrets.BASE_RULES)})")}) AS base_sha256, {_JOINED.format('s')} AS spans FROM f""",

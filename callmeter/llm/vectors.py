@@ -159,12 +159,14 @@ PACKED = "label long, cell int, block long, width int, centre array<double>, rad
 
 def usable(rows: DataFrame) -> DataFrame:
     """rows (vec_id, label, embedding) with vector, the embedding in doubles, and node, the hash of label and vector:
-    null where the id, label or vector is null, or the vector is empty, zero, or holds a null or non-finite component."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    rows = rows.withColumn("vector", v)
+    null where the label or vector is null, or the vector is empty, zero, or holds a null or non-finite component. Vectors
+    whose squares could leave the range of doubles are brought to a largest component of 1."""
+    rows = rows.withColumn("vector", F.transform("embedding", lambda x: x.cast("double")))
+    most = F.array_max(F.transform("vector", F.abs))
+    rows = rows.withColumn("vector", F.when((most > 0) & ((most < 1e-100) | (most > 1e100)) & (most < float("inf")), F.transform("vector", lambda x: x / most)).otherwise(F.col("vector")))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = ~F.exists("vector", lambda x: x != 0)
-    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(~bad & ~zero, F.lit(False))
+    good = F.col("label").isNotNull() & F.coalesce(~bad & ~zero, F.lit(False))
     return rows.withColumn("node", F.when(good, F.xxhash64("label", "vector")))
 
 
@@ -255,7 +257,8 @@ def near_classes(spark: SparkSession, rows: DataFrame, least: float = 0.93) -> D
     """(vec_id, n_links, component_id, kept) for every row of rows (vec_id, label, embedding).
 
     Rows link where labels are equal and the cosine, in doubles, is at least `least`. Rows of no use (see usable) link
-    with nothing; a null vec_id has a null component and isn't kept; repeated rows link with each other and come out as
+    with nothing; a row with a null vec_id links like any other, has the least id that it reaches as its component, null
+    where there is none, and isn't kept; repeated rows link with each other and come out as
     often as they occur; vectors of different lengths don't link; an empty table gives no rows; other columns are
     ignored. Equal vectors are one weighted node, so a group of copies costs what one vector does. Labels may be of any
     type that can be hashed; labels and vectors are told apart by 64-bit hashes.
