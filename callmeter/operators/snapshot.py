@@ -60,13 +60,28 @@ def event_feed(calls: DataFrame) -> DataFrame:
     return calls.orderBy(*order).select(F.col("started_at").alias("at"), "workspace", "provider", "model", F.coalesce("outcome", F.lit("started")).alias("outcome"), F.col("retry_scheduled").alias("retried"), *[used[c].alias(c) for c in USAGE], *order[1:])
 
 
+def rollups(spark: SparkSession, calls: DataFrame, request: Request) -> DataFrame:
+    """Both rollups of selected calls in one scan and one aggregation, by grouping sets: rows with `part` (models or
+    daily), workspace, provider, model, day and the measures. Days without a call come from the spine."""
+    keys = [F.col(c) for c in ("workspace", "provider", "model")]
+    day = F.col("local_day").alias("day")
+    rows = calls.select(*keys, day, *attempt_measures())
+    both = rows.groupingSets([keys, [F.col("day")]], *keys, F.col("day")).agg(*sums(), F.grouping("day").alias("by_model"))
+    zero = [F.lit(0).cast("long").alias(c) for c in MEASURES]
+    none = [F.lit(None).cast("string").alias(c) for c in ("workspace", "provider", "model")]
+    spine = calendar_spine(spark, request).select(*none, "day", *zero, F.lit(0).cast("tinyint").alias("by_model"))
+    # The spine has a row for each of at most 366 days, so adding it is a second sum over as many rows.
+    days = both.unionByName(spine).groupBy("workspace", "provider", "model", "day", "by_model").agg(*sums())
+    return days.select(F.when(F.col("by_model") == 1, "models").otherwise("daily").alias("part"), "workspace", "provider", "model", "day", *MEASURES)
+
+
 def snapshot(spark: SparkSession, calls: DataFrame, request: Request, keep: bool = False) -> dict[str, DataFrame]:
-    """params, events, models and daily over one selection. With `keep`, that is cached while the parts are used, and
-    the caller unpersists snapshot()["selected"] afterwards."""
+    """params, events, models and daily over one selection, and `rollups`, the last two from one scan (see rollups). With
+    `keep`, the selection is cached while the parts are used, and the caller unpersists snapshot()["selected"] afterwards."""
     chosen = select_calls(calls, request)
     chosen = chosen.persist() if keep else chosen
     params = spark.range(1).select(
         F.lit(request.workspace).cast("string").alias("workspace"), F.lit(request.days).cast("long").alias("days"), F.lit(request.from_day).alias("from_day"), F.lit(request.through_day).alias("through_day"),
         F.lit(request.time_zone).alias("time_zone"), F.lit(request.as_of.isoformat()).alias("updated_at"),
     )
-    return {"params": params, "selected": chosen, "events": event_feed(chosen), "models": order_models(model_rollup(chosen)), "daily": daily_rollup(calendar_spine(spark, request), chosen).orderBy("day")}
+    return {"params": params, "selected": chosen, "rollups": rollups(spark, chosen, request), "events": event_feed(chosen), "models": order_models(model_rollup(chosen)), "daily": daily_rollup(calendar_spine(spark, request), chosen).orderBy("day")}

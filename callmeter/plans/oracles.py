@@ -207,6 +207,8 @@ UNION ALL SELECT 'bad: ' || reason, session_id, NULL, NULL, NULL, count(*), NULL
     "order_models": on_snapshot("SELECT row_number() OVER (ORDER BY coalesce(workspace, ''), provider, model) AS place, workspace, provider, model, requests FROM models"),
     "calendar_spine": on_snapshot("SELECT day FROM spine"),
     "daily_rollup": on_snapshot("SELECT * FROM daily"),
+    "write_marts": on_snapshot("SELECT * FROM daily"),
+    "upsert_calls": on_calls("SELECT * FROM calls"),
     "event_feed": on_snapshot("SELECT * EXCLUDE (local_day) FROM feed"),
     "snapshot": on_snapshot("""SELECT 'models' AS part, coalesce(workspace, '-') || '|' || provider || '|' || model AS key, requests, input_tokens, output_tokens FROM models UNION ALL SELECT 'daily', day, requests, input_tokens, output_tokens FROM daily
 UNION ALL SELECT 'events', NULL, count(*), sum(input_tokens)::BIGINT, sum(output_tokens)::BIGINT FROM feed"""),

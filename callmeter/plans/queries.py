@@ -359,8 +359,8 @@ def event_feed(spark, d):
 def snapshot_parts(spark, d):
     parts = snapshot.snapshot(spark, calls(spark, d), REQUEST)
     figures = ["requests", "input_tokens", "output_tokens"]
-    key = F.concat_ws("|", F.coalesce("workspace", F.lit("-")), "provider", "model")
-    rows = parts["models"].select(F.lit("models").alias("part"), key.alias("key"), *figures).unionByName(parts["daily"].select(F.lit("daily").alias("part"), F.col("day").alias("key"), *figures))
+    key = F.when(F.col("part") == "daily", F.col("day")).otherwise(F.concat_ws("|", F.coalesce("workspace", F.lit("-")), "provider", "model"))
+    rows = parts["rollups"].select("part", key.alias("key"), *figures)
     total = parts["events"].agg(F.count(F.lit(1)).alias("requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
     return rows.unionByName(total.select(F.lit("events").alias("part"), F.lit(None).cast("string").alias("key"), *figures))
 
@@ -443,6 +443,30 @@ def buckets_from_events(spark, d):
     return buckets(spark, d)
 
 
+@query
+def write_marts(spark, d):
+    """The daily mart, first with the figures of half the calls, then brought up to date by the days that changed."""
+    path, chosen = scratch(spark), kept(spark, selected(spark, d))
+    spine = snapshot.calendar_spine(spark, REQUEST)
+    store.write_marts({"daily": snapshot.daily_rollup(spine, chosen.where("started_at % 2 = 0"))}, path)
+    store.write_marts({"daily": kept(spark, store.changed_days(snapshot.daily_rollup(spine, chosen), path))}, path)
+    return store.read_daily(spark, path)
+
+
+@query
+def upsert_calls(spark, d):
+    """Three batches, the last after a compaction of the others, and another compaction: the latest state of each call."""
+    path, now = scratch(spark), kept(spark, calls(spark, d))
+    stale = now.withColumn("outcome", F.lit(None).cast("string")).withColumn("last_seq", F.col("last_seq") - 1)
+    store.upsert_calls(stale, path, 1)
+    store.upsert_calls(now.where("started_at % 3 = 0"), path, 2)
+    store.compact_calls(spark, path, 2)
+    store.upsert_calls(now.where("started_at % 3 > 0"), path, 3)
+    store.compact_calls(spark, path, 3)
+    store.sweep_calls(spark, path)
+    return flat(store.scan_calls(spark, path))
+
+
 @query
 def buckets_from_daily(spark, d):
     by_day = panel.panel_daily(daily(spark, d))

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import CALL_KEY, CALLS, LOG, PROGRESS, names
+from ..schema import CALL_KEY, CALLS, LOG, MEASURES, PROGRESS, names
 
 
 def _json_log(spark: SparkSession, path: str) -> DataFrame:
@@ -45,20 +45,52 @@ def drop_fork_prefix(log: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def upsert_calls(calls: DataFrame, path: str, batch: int) -> None:
-    """Appends changed calls (with last_seq) as one batch; writing a batch again replaces it and changes nothing else."""
+    """Appends changed calls (with first_seq and last_seq) as one batch; writing a batch again replaces it and changes
+    nothing else."""
     calls.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch_id={batch}")
 
 
-def scan_calls(spark: SparkSession, path: str, before: int | None = None, progress: bool = False) -> DataFrame:
-    """The latest state of every call (schema.CALLS; with `progress`, first_seq and last_seq as well). before: of the
-    batches with smaller numbers only. A store that isn't there yet has no calls."""
-    stored = f"{CALLS}, {PROGRESS}, batch_id bigint"
+_STORED = f"{CALLS}, {PROGRESS}, batch_id bigint"
+
+
+def _fs(spark: SparkSession, path: str):
+    """(file system, function from text to path) of a store, by Hadoop's own interface."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    return hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def generation(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """(number, last batch compacted) of a store's current generation, or None before its first compaction. It is in the
+    name of an empty file, `path.compacted/current/NUMBER-BATCH`, of which the greatest number counts."""
+    fs, hadoop = _fs(spark, path)
+    folder = hadoop(f"{path}.compacted/current")
+    found = [tuple(map(int, f.getPath().getName().rsplit("-", 1))) for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return max(found, default=None)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
     try:
-        rows = spark.read.option("basePath", path).schema(stored).parquet(path)
+        return spark.read.option("basePath", path).schema(_STORED).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows = spark.createDataFrame([], stored)
+        return spark.createDataFrame([], _STORED)
+
+
+def all_calls(spark: SparkSession, path: str) -> DataFrame:
+    """Every stored state of every call: of the current generation, and of the batches after it."""
+    now = generation(spark, path)
+    rows = _read(spark, path)
+    if now is None:
+        return rows
+    number, last = now
+    return _read(spark, f"{path}.compacted/{number}").unionByName(rows.where(F.col("batch_id") > last))
+
+
+def scan_calls(spark: SparkSession, path: str, before: int | None = None, progress: bool = False) -> DataFrame:
+    """The latest state of every call (schema.CALLS; with `progress`, first_seq and last_seq as well). before: of the
+    batches with smaller numbers only. A store that isn't there yet has no calls."""
+    rows = all_calls(spark, path)
     last = latest_calls(rows if before is None else rows.where(F.col("batch_id") < before))
     return last if progress else last.drop(*names(PROGRESS))
 
@@ -72,13 +104,73 @@ def latest_calls(rows: DataFrame) -> DataFrame:
     return last.select(*key, "r.*").select(*[c for c in rows.columns if c != "batch_id"])
 
 
-def compact_calls(spark: SparkSession, path: str, target: str) -> None:
-    """Rewrites a calls store, one row per call, to another path."""
-    upsert_calls(scan_calls(spark, path, progress=True), target, 0)
+def compact_calls(spark: SparkSession, path: str, through: int) -> int:
+    """Makes a new generation of a store from its batches up to number `through`, one row per call, and returns its
+    number. Batches after it stay what they are and may go on arriving.
+
+    The generation is written beside the current one. What makes it current is one empty file, renamed into place, so a
+    reader sees the old state or the new one, and a compaction that fails halfway has changed nothing. Days that no batch
+    touched since the last generation are taken over as they are, without being aggregated anew. sweep_calls removes what
+    readers no longer need.
+    """
+    now = generation(spark, path)
+    number = 1 if now is None else now[0] + 1
+    fs, hadoop = _fs(spark, path)
+    target = f"{path}.compacted/{number}"
+    rows = all_calls(spark, path).where(F.col("batch_id") <= through)
+    if now is not None:
+        old = _read(spark, f"{path}.compacted/{now[0]}")
+        touched = rows.where(F.col("batch_id") > now[1]).select("day").distinct()
+        kept = old.join(touched, "day", "left_anti")
+        kept.drop("batch_id").write.mode("overwrite").partitionBy("day").parquet(f"{target}/batch_id={now[1]}")
+        rows = rows.join(touched, "day", "left_semi")
+    latest_calls(rows).write.mode("overwrite").partitionBy("day").parquet(f"{target}/batch_id={through}")
+    fs.mkdirs(hadoop(f"{path}.compacted/current"))
+    made = hadoop(f"{target}/_made")
+    fs.create(made, True).close()
+    if not fs.rename(made, hadoop(f"{path}.compacted/current/{number}-{through}")):
+        raise OSError(f"generation {number} couldn't be made current")
+    return number
+
+
+def sweep_calls(spark: SparkSession, path: str) -> None:
+    """Removes batches that the current generation holds, and former generations. For when no reader that began before
+    the last compaction is still at work."""
+    now = generation(spark, path)
+    if now is None:
+        return
+    fs, hadoop = _fs(spark, path)
+    for f in fs.listStatus(hadoop(path)):
+        kind, _, value = f.getPath().getName().partition("=")
+        if kind == "batch_id" and int(value) <= now[1]:
+            fs.delete(f.getPath(), True)
+    for folder in ("", "/current"):
+        for f in fs.listStatus(hadoop(f"{path}.compacted{folder}")):
+            number = f.getPath().getName().split("-")[0]
+            if number.isdigit() and int(number) < now[0]:
+                fs.delete(f.getPath(), True)
 
 
 def write_marts(parts: dict[str, DataFrame], path: str) -> None:
-    """Publishes a snapshot's parts, each in its folder; daily rows by day."""
+    """Publishes a snapshot's parts, each in its folder. Daily rows replace the days they are of and leave all others."""
     for name, df in parts.items():
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy("day") if name == "daily" else writer).parquet(f"{path}/{name}")
+        if name == "daily":
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/{name}")
+        else:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def changed_days(daily: DataFrame, path: str) -> DataFrame:
+    """The daily rows that a mart at `path` hasn't yet, or has with other figures: what write_marts has to write."""
+    spark = daily.sparkSession
+    figures = [c for c in daily.columns if c != "day"]
+    fs, hadoop = _fs(spark, path)
+    if not fs.exists(hadoop(f"{path}/daily")):
+        return daily
+    old = read_daily(spark, path).select("day", F.xxhash64(*figures).alias("old"))
+    return daily.join(old, "day", "left").where(~F.xxhash64(*figures).eqNullSafe(F.col("old"))).drop("old")
+
+
+def read_daily(spark: SparkSession, path: str) -> DataFrame:
+    """The daily rows of a mart: what panel.panel_daily and panel.buckets_from_daily take."""
+    return spark.read.schema("day string, " + ", ".join(f"{c} bigint" for c in MEASURES)).parquet(f"{path}/daily")
