@@ -16,8 +16,6 @@ from .langid import blocks
 SCHEMA = "doc_id long, n_tokens long, ce_target double, ce_background double, ce_diff double"
 #: Beginning and end of a document, as a word: each document is followed by one and preceded by one.
 EDGE = np.uint64(0x8C7F0AAC97C4AA2F)
-#: The vocabulary's size is told from the least hashes of its words: exact up to so many words.
-LEAST_WORDS = 4096
 #: What a word never seen counts, and the weight of a word's own share beside its share after the word before.
 NEW, WEIGHT = 0.5, 10.0
 TARGET, BACKGROUND, ASKED = 1, 2, 4
@@ -87,7 +85,8 @@ def fit(corpus: DataFrame, share: float = 2.0**-16, hold: int = 1 << 20) -> Mode
 
     Every word of every text of both corpora is counted. Each task first sums up `hold` words at a time and passes on
     what makes up a `share` there (and occurs more than three times); what makes up a share in all is then counted
-    exactly. The driver gets at most 2 / share keys.
+    exactly. The driver gets at most 2 / share keys. The vocabulary is counted as distinct words, which a task sums up
+    before they are shuffled.
     """
     spark = corpus.sparkSession
 
@@ -97,8 +96,7 @@ def fit(corpus: DataFrame, share: float = 2.0**-16, hold: int = 1 << 20) -> Mode
             for kind, key in ((0, b), (1, h)):
                 key, n = np.unique(key, return_counts=True)
                 if kind == 0:
-                    low = np.sort(mix(key[key != EDGE]))[:LEAST_WORDS]
-                    yield rows(2, low, np.zeros(len(low), np.int64))
+                    yield rows(2, key[key != EDGE], np.zeros(len(key) - (EDGE in key), np.int64))
                 keep = n > max(3, share * len(b))
                 yield rows(kind, key[keep], n[keep])
             yield rows(3, np.arange(2, dtype=np.uint64), np.array([((w & m) > 0).sum() for m in (TARGET, BACKGROUND)]))
@@ -119,11 +117,11 @@ def fit(corpus: DataFrame, share: float = 2.0**-16, hold: int = 1 << 20) -> Mode
             yield from close(part)
 
     learned = corpus.where(F.col("marks").bitwiseAND(TARGET + BACKGROUND) > 0)
-    found = stored(spark, learned.mapInArrow(frequent, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    keys = learned.mapInArrow(frequent, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    found = stored(spark, keys.groupBy("kind", F.when(F.col("kind") != 2, F.col("key")).alias("key")).agg(F.sum("n").alias("n"), F.count("*").alias("keys")))
     sums = {r["key"]: r["n"] for r in found.where("kind = 3").collect()}
     total = (sums.get(0, 0), sums.get(1, 0))
-    least = np.sort(found.where("kind = 2").select("key").orderBy(F.col("key") < 0, "key").limit(LEAST_WORDS).toArrow().column(0).to_numpy().view(np.uint64))
-    size = len(least) if len(least) < LEAST_WORDS else round((LEAST_WORDS - 1) * 2.0**64 / float(least[-1]))
+    size = sum(r["keys"] for r in found.where("kind = 2").collect())
     often = [np.sort(found.where((F.col("kind") == kind) & (F.col("n") >= share * max(total))).select("key").toArrow().column(0).to_numpy().view(np.uint64)) for kind in (0, 1)]
 
     def count(batches):
@@ -151,15 +149,26 @@ _SENT = "bucket int, block long, ids array<long>, n array<long>, t array<double>
 _BACK = "block long, ids array<long>, n array<long>, t array<double>, g array<double>, data binary"
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of 32-bit words, byte by byte, so that bytes alike stand together, and compressed."""
-    raw = np.stack(arrays).astype("<u4").view(np.uint8).reshape(len(arrays), -1, 4).transpose(0, 2, 1).tobytes()
+#: Columns of a block's bigrams: bigram (the lowest bits of its hash, and whether its word is rare), word (its hash if
+#: rare, else its place among the frequent words), how often both occur in the document, and the document with its marks.
+_ASKED = ("<u8", "<u8", "<u4", "<u4", "<u4")
+#: Columns of what comes back: document, its losses in both models.
+_TOLD = ("<u4", "<f8", "<f8")
+#: So many bits of a bigram's hash travel, beside its word.
+BITS = np.uint64(48)
+
+
+def _pack(types: tuple[str, ...], *arrays: np.ndarray) -> bytes:
+    """Arrays of the same length, byte by byte, so that bytes alike stand together, and compressed."""
+    raw = b"".join(a.astype(t).view(np.uint8).reshape(len(a), -1).T.tobytes() for t, a in zip(types, arrays))
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpack(data: bytes, columns: int) -> np.ndarray:
+def _unpack(types: tuple[str, ...], data: bytes) -> list[np.ndarray]:
     raw = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(columns, 4, -1).transpose(0, 2, 1)).view("<u4")[:, :, 0].copy()
+    sizes = [np.dtype(t).itemsize for t in types]
+    parts = np.split(raw, np.cumsum(sizes)[:-1] * (len(raw) // sum(sizes)))
+    return [np.ascontiguousarray(p.reshape(size, -1).T).view(t)[:, 0] for p, size, t in zip(parts, sizes, types)]
 
 
 def score(corpus: DataFrame, models: Models, hold: int = 1 << 20, bucket_size: int = 1 << 20) -> DataFrame:
@@ -169,11 +178,12 @@ def score(corpus: DataFrame, models: Models, hold: int = 1 << 20, bucket_size: i
     Each document's distinct bigrams meet all others of their last word in a bucket: there the corpus's counts and each
     document's losses are summed up. Words and bigrams that are frequent (see Models) don't pile up in one bucket: frequent
     words' bigrams are dealt by bigram, and frequent bigrams are answered where the document is read. Documents
-    travel as blocks of about `hold` bigrams, some eight bytes a bigram; sums come back per document and bucket.
+    travel as blocks of about `hold` bigrams, some ten bytes a bigram; sums come back per document and bucket, as doubles.
 
     corpus is to give its rows in the same order whenever it is read (a stored table does). Texts without words, and null
     ones, have no loss: zeros, n_tokens 0. Repeated rows come out as often as they occur; a null doc_id stays null; an
-    empty table gives no rows; other columns are ignored. Words and bigrams are told apart by 64-bit hashes.
+    empty table gives no rows; other columns are ignored. Words are told apart by 64-bit hashes, and bigrams of one word
+    by 48 bits of theirs.
     """
     spark = corpus.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(models.total) // bucket_size + 1)
@@ -186,11 +196,11 @@ def score(corpus: DataFrame, models: Models, hold: int = 1 << 20, bucket_size: i
         def close():
             every = [np.concatenate(x) for x in zip(*sent)]
             bucket = every.pop()
-            by = np.argsort(bucket, kind="stable")
+            by = np.lexsort((every[0] >> BITS, bucket))
             at = np.searchsorted(bucket[by], np.arange(buckets + 1))
             x, y, n, m, d = (c[by] for c in every)
             use = np.flatnonzero(at[1:] > at[:-1])
-            data = [_pack(x[s:e], y[s:e], n[s:e], m[s:e], np.diff(d[s:e], prepend=np.uint32(0))) for s, e in zip(at[use], at[use + 1])]
+            data = [_pack(_ASKED, x[s:e], y[s:e], n[s:e], m[s:e], np.diff(d[s:e], prepend=np.uint32(0))) for s, e in zip(at[use], at[use + 1])]
             columns = [pa.array([i for part in ids for i in part.to_pylist()], pa.int64()), *(pa.array(np.concatenate(h)) for h in zip(*heads))]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
             yield pa.RecordBatch.from_arrays([pa.array([block % buckets], pa.int32()), pa.array([base + block]), *lists, pa.nulls(1, pa.binary())], names=["bucket", "block", "ids", "n", "t", "g", "data"])
@@ -220,8 +230,9 @@ def score(corpus: DataFrame, models: Models, hold: int = 1 << 20, bucket_size: i
                 away = np.flatnonzero((in_words < 0) | (in_pairs < 0))
                 rare = in_words[away] < 0
                 route = mix(np.where(rare, b[away], h[away]) ^ np.uint64(0xA24BAED4963EE407))
-                y = np.where(rare, b[away] & np.uint64(0x7FFFFFFF) | np.uint64(1 << 31), in_words[away].astype(np.uint64)).astype(np.uint32)
-                sent.append((h[away].astype(np.uint32), y, n[away].astype(np.uint32), m[away].astype(np.uint32), ((of[away] + docs) * 8 + mark[away]).astype(np.uint32), ((route >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)))
+                x = h[away] & ((np.uint64(1) << BITS) - np.uint64(1)) | rare.astype(np.uint64) << BITS
+                y = np.where(rare, b[away], in_words[away].astype(np.uint64))
+                sent.append((x, y, n[away].astype(np.uint32), m[away].astype(np.uint32), ((of[away] + docs) * 8 + mark[away]).astype(np.uint32), ((route >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)))
                 ids.append(some)
                 heads.append((np.where((marks & ASKED) > 0, length, -1), *sums))
                 size, docs = size + len(away), docs + len(texts)
@@ -235,27 +246,30 @@ def score(corpus: DataFrame, models: Models, hold: int = 1 << 20, bucket_size: i
         model = shared.value
 
         def close(part):
-            block = np.repeat(np.arange(len(part)), [x.shape[1] for _, x in part])
-            x, y, n, m, d = (c.astype(np.int64) for c in np.concatenate([x for _, x in part], 1))
-            mark, doc = d & 7, d >> 3
-            _, pair = np.unique(y << 32 | x, return_inverse=True)
-            _, word = np.unique(y, return_inverse=True)
-            rare = y >= 1 << 31
+            block = np.repeat(np.arange(len(part)), [len(columns[0]) for _, columns in part])
+            x, y, n, m, d = (np.concatenate(c) for c in zip(*(columns for _, columns in part)))
+            n, m, mark, doc = n.astype(np.int64), m.astype(np.int64), d & np.uint32(7), (d >> np.uint32(3)).astype(np.int64)
+            rare = x >> BITS > 0
+            pair, word = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
+            by = np.lexsort((x, y))
+            other = (y[by][1:] != y[by][:-1]) | (rare[by][1:] != rare[by][:-1])
+            word[by] = np.concatenate([[0], np.cumsum(other)])
+            pair[by] = np.concatenate([[0], np.cumsum(other | (x[by][1:] != x[by][:-1]))])
             asked = (mark & ASKED) > 0
             sums = []
             for k in (0, 1):
                 own = (mark >> k) & 1
                 of_pair, of_word = np.bincount(pair, n * own)[pair], np.bincount(word, n * own)[word]
                 if len(model.words):
-                    of_word = np.where(rare, of_word, model.word_counts[np.where(rare, 0, y), k])
+                    of_word = np.where(rare, of_word, model.word_counts[np.where(rare, 0, y).astype(np.int64), k])
                 loss = model.loss(k, of_pair - n * own, of_word - m * own)
                 sums.append((n * loss)[asked])
             key, at = np.unique(block[asked] << 32 | doc[asked], return_inverse=True)
-            sums = [np.bincount(at, s, len(key)).astype(np.float32) for s in sums]
+            sums = [np.bincount(at, s, len(key)) for s in sums]
             cut = np.searchsorted(key >> 32, np.arange(len(part) + 1))
             use = [i for i in range(len(part)) if cut[i] < cut[i + 1]]
             doc = key & 0xFFFFFFFF
-            data = [_pack(np.diff(doc[s:e], prepend=0), *(v[s:e].view(np.uint32) for v in sums)) for s, e in ((cut[i], cut[i + 1]) for i in use)]
+            data = [_pack(_TOLD, np.diff(doc[s:e], prepend=0), *(v[s:e] for v in sums)) for s, e in ((cut[i], cut[i + 1]) for i in use)]
             none = [pa.nulls(len(use), pa.list_(t)) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
             return pa.RecordBatch.from_arrays([pa.array([part[i][0] for i in use], pa.int64()), *none, pa.array(data, pa.binary())], names=["block", "ids", "n", "t", "g", "data"])
 
@@ -269,7 +283,7 @@ def score(corpus: DataFrame, models: Models, hold: int = 1 << 20, bucket_size: i
                     yield close(part)
                     part = []
                 bucket = k
-                x = _unpack(batch.column(6)[row].as_py(), 5)
+                x = _unpack(_ASKED, batch.column(6)[row].as_py())
                 x[4] = np.cumsum(x[4], dtype=np.uint32)
                 part.append((batch.column(1)[row].as_py(), x))
         if part:
@@ -279,10 +293,10 @@ def score(corpus: DataFrame, models: Models, hold: int = 1 << 20, bucket_size: i
         def close(head, parts):
             ids, n, t, g = head
             for data in parts:
-                x = _unpack(data, 3)
-                at = np.cumsum(x[0].astype(np.int64))
-                t[at] += x[1].view(np.float32)
-                g[at] += x[2].view(np.float32)
+                at, of_target, of_background = _unpack(_TOLD, data)
+                at = np.cumsum(at.astype(np.int64))
+                t[at] += of_target
+                g[at] += of_background
             keep = n >= 0
             each = np.where(n > 0, n + 1, 1)
             t, g = (t / each)[keep], (g / each)[keep]
