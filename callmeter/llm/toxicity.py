@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Bytes, table
+from .common import Bytes, stored, table, with_row
 from .langid import blocks, held_out
 
 PREFIXES = (4, 5, 6)
@@ -166,27 +166,34 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return Model(chosen, w, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unlabelled: int = 10_000, prior: float | None = None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unlabelled: int = 10_000, prior: float | None = None, most: int = 4096) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic).
 
     Positives are the documents that a label confirms as toxic; unlabelled are any documents, whatever their label. Of
-    each, a sample bounded by max_positive and max_unlabelled (the lowest hashes of doc_id) is fitted, in numpy. The
-    class prior, unless given, is the toxic share of all labelled rows. Null ids, texts and labels teach nothing.
+    each, a sample of at most max_positive and max_unlabelled rows is fitted, in numpy: those of the lowest hashes of
+    doc_id, one row of each id, however often it occurs. The sample is stored once. `most` bounds the lifted features
+    that its cover is taken from. The class prior, unless given, is the toxic share of all labelled ids. Null ids, texts
+    and labels teach nothing.
     """
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    spark = docs.sparkSession
+    texts = with_row(spark, docs.select("doc_id", "text")).where("doc_id is not null and text is not null")
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
         prior = marks.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     order = F.xxhash64(F.col("doc_id"))
     ids = texts.select("doc_id").distinct()
-    positive = ids.join(marks.where("toxic = 1"), "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_positive)
-    unlabelled = ids.orderBy(order, "doc_id").limit(max_unlabelled)
-    spark = docs.sparkSession
-
-    def extracted(ids: DataFrame, wanted: Known | None) -> DataFrame:
-        """(doc_id, f): the features, all or those wanted, of the documents with these ids, of which there are as many
-        as a sample has."""
-        some = F.broadcast(spark.createDataFrame(ids.collect(), ids.schema))
+    known = ids.join(marks.where("toxic = 1"), "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_positive)
+    any_ids = ids.orderBy(order, "doc_id").limit(max_unlabelled)
+    drawn = known.withColumn("positive", F.lit(True)).unionByName(any_ids.withColumn("unlabelled", F.lit(True)), allowMissingColumns=True)
+    drawn = drawn.groupBy("doc_id").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled"))
+    few = F.broadcast(spark.createDataFrame(drawn.collect(), drawn.schema))
+    drawn = texts.select("row", "doc_id").join(few, "doc_id").groupBy(*few.columns).agg(F.min("row").alias("row"))
+    few = F.broadcast(spark.createDataFrame(drawn.collect(), drawn.schema))
+    sample = stored(spark, texts.join(few, ["row", "doc_id"]).select("doc_id", "text", "positive", "unlabelled"))
+    positive, unlabelled = sample.where("positive"), sample.where("unlabelled")
+
+    def extracted(rows: DataFrame, wanted: Known | None) -> DataFrame:
+        """(doc_id, f): the features, all or those wanted, of rows of the sample."""
         shared = spark.sparkContext.broadcast(wanted)
 
         def run(batches):
@@ -199,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unlabe
                     cut = np.searchsorted(of, np.arange(len(text) + 1))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(cut.astype(np.int32), pa.array(f.view(np.int64)))], names=["doc_id", "f"])
 
-        return texts.join(some, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, f array<bigint>")
+        return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, f array<bigint>")
 
     def gathered(rows: DataFrame) -> list[np.ndarray]:
         table = rows.toArrow()
@@ -220,8 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unlabe
     seen, n = counts(extracted(unlabelled, Known(often)), 1)
     in_u = np.zeros(len(often), np.int64)
     in_u[np.searchsorted(often, seen)] = n
-    wanted = Known(often[lifted(in_p, n_p, in_u, n_u)])
-    return train(gathered(extracted(positive, wanted)), gathered(extracted(unlabelled, wanted)), prior)
+    wanted = Known(often[lifted(in_p, n_p, in_u, n_u, most)])
+    return train(gathered(extracted(positive, wanted)), gathered(extracted(unlabelled, wanted)), prior, most)
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
