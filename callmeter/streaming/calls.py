@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -19,9 +20,11 @@ from ..schema import CALLS, CURSOR, LOG, PROGRESS, USAGE, names
 from ..sources.store import scan_calls, upsert_calls
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_OUT = (
-    "session_id string, created_at bigint, workspace string, attempt_id string, turn bigint, step bigint, provider string, model string, started_at bigint, outcome string, retry_scheduled boolean, "
-    "provisional array<bigint>, final array<bigint>, first_seq bigint, last_seq bigint, dropped bigint, bad string"
+#: What Python and Spark hand each other has few columns, as each costs a conversion per row: events and calls are JSON.
+_OUT = "session_id string, created_at bigint, workspace string, call string, dropped bigint, bad string"
+_CALL = (
+    "attempt_id string, turn bigint, step bigint, provider string, model string, started_at bigint, outcome string, retry_scheduled boolean, "
+    "provisional array<bigint>, final array<bigint>, first_seq bigint, last_seq bigint"
 )
 _FAULTS = "session_id string, created_at bigint, seq bigint, attempt_id string, fault string"
 _SESSION_STATE = "seen bigint, provider string, model string, workspace string, live boolean"
@@ -37,19 +40,68 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _used(e: Row) -> list | None:
+class Event(dict):
+    """An event by its fields, of which JSON leaves out those that are null."""
+
+    def __missing__(self, field: str) -> None:
+        return None
+
+
+def _used(e: Event) -> list | None:
     return None if e["input_tokens"] is None else [e[c] or 0 for c in USAGE]
 
 
+class Homes:
+    """The turn in which each of a session's attempts began, in buckets by a hash of the attempt's id: each is read at most
+    once in a batch, and written once if it changed. There are 2^depth of them, `most` ids in each at most, or about, and
+    bucket 0 knows the depth. Every access to state is a message to Spark, so one for each attempt would take longer than
+    the fold. fresh: the session has no state yet."""
+
+    def __init__(self, state, fresh: bool, most: int = 512):
+        self._state, self._fresh, self._most, self._held, self._changed = state, fresh, most, {}, set()
+
+    def _bucket(self, n: int) -> list:
+        if n not in self._held:
+            found = None if self._fresh else self._state.getValue((n,))
+            self._held[n] = [0, {}] if found is None else json.loads(found[0])
+        return self._held[n]
+
+    def _of(self, name: str) -> int:
+        return zlib.crc32(name.encode("utf-8", "surrogatepass")) & ((1 << self._bucket(0)[0]) - 1)
+
+    def get(self, name: str) -> int | None:
+        return self._bucket(self._of(name))[1].get(name)
+
+    def put(self, name: str, turn: int) -> None:
+        n = self._of(name)
+        self._bucket(n)[1][name] = turn
+        self._changed.add(n)
+        if len(self._bucket(0)[1]) > self._most:
+            self._split()
+
+    def _split(self) -> None:
+        depth = self._bucket(0)[0] + 1
+        ids = [x for n in range(1 << depth - 1) for x in self._bucket(n)[1].items()]
+        self._held = {n: [0, {}] for n in range(1 << depth)}
+        self._held[0][0], self._changed = depth, set(self._held)
+        for name, turn in ids:
+            self._held[self._of(name)][1][name] = turn
+
+    def write(self) -> None:
+        for n in self._changed:
+            self._state.updateValue((n,), (json.dumps(self._held[n]),))
+
+
 class Turns:
-    """A session's turns as a batch uses them: each is read at most once, and written once if it changed."""
+    """A session's turns as a batch uses them: each is read at most once, and written once if it changed. fresh: the session
+    has no state yet."""
 
-    def __init__(self, turns, homes):
-        self._turns, self._homes, self._held, self._changed, self._known = turns, homes, {}, set(), {}
+    def __init__(self, turns, homes, fresh: bool):
+        self._turns, self._homes, self._fresh, self._held, self._changed = turns, Homes(homes, fresh), fresh, {}, set()
 
     def __getitem__(self, turn: int) -> dict:
         if turn not in self._held:
-            found = self._turns.getValue((turn,))
+            found = None if self._fresh else self._turns.getValue((turn,))
             self._held[turn] = {"open": {}, "won": {}, "calls": {}} if found is None else json.loads(found[0])
         return self._held[turn]
 
@@ -59,21 +111,16 @@ class Turns:
 
     def home(self, name: str, turn: int) -> int | None:
         """The turn in which an attempt began: as a rule the given one."""
-        if name in self[turn]["calls"]:
-            return turn
-        if name not in self._known:
-            found = self._homes.getValue((name,))
-            self._known[name] = None if found is None else found[0]
-        return self._known[name]
+        return turn if name in self[turn]["calls"] else self._homes.get(name)
 
     def begin(self, name: str, turn: int, call: dict) -> None:
         self.change(turn)["calls"][name] = call
-        self._known[name] = turn
-        self._homes.updateValue((name,), (turn,))
+        self._homes.put(name, turn)
 
     def write(self) -> None:
         for turn in self._changed:
             self._turns.updateValue((turn,), (json.dumps(self._held[turn]),))
+        self._homes.write()
 
 
 class CallFold(StatefulProcessor):
@@ -81,7 +128,7 @@ class CallFold(StatefulProcessor):
     a call for the number of events that came too late, and bad events as they came.
 
     State: the last seq applied, the route and the workspace; by turn, its steps' open and successful attempts and the
-    calls that began in it; by attempt, that turn. A batch reads and writes the turns that its events name. The state begins with what was folded before, if that is given, and grows with the session until
+    calls that began in it; by attempt, that turn (see Homes). A batch reads and writes the turns that its events name. The state begins with what was folded before, if that is given, and grows with the session until
     a `disposed` event of the same workspace clears it, or `idle` milliseconds pass without an event; the calls that were
     put out stay. Events of another workspace begin a new life. An event at or below the last seq is not applied again; a
     gap is passed over.
@@ -94,37 +141,40 @@ class CallFold(StatefulProcessor):
         self._handle = handle
         self._session = handle.getValueState("session", _SESSION_STATE)
         self._turns = handle.getMapState("turns", "turn bigint", "json string")
-        self._homes = handle.getMapState("homes", "attempt_id string", "turn bigint")
+        self._homes = handle.getMapState("homes", "bucket bigint", "json string")
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         if initialState["turn"] is None:
             self._session.update(tuple(initialState[c] for c in names(_SESSION_STATE)))
         else:
             self._turns.updateValue((initialState["turn"],), (initialState["json"],))
+            homes = Homes(self._homes, False)
             for name in json.loads(initialState["json"])["calls"]:
-                self._homes.updateValue((name,), (initialState["turn"],))
+                homes.put(name, initialState["turn"])
+            homes.write()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         blank = dict.fromkeys(names(_OUT)) | {"session_id": key[0], "created_at": key[1]}
         if key[0] is None:  # bad events, dealt by a hash; they have no state
-            yield from (Row(**blank | {"created_at": None, "bad": e["bad"]}) for e in rows)
+            yield from (Row(**blank | {"created_at": None, "bad": e["event"]}) for e in rows)
             return
-        seen, provider, model, life, live = self._session.get() if self._session.exists() else (-1, "unknown", "unknown", None, None)
-        turns, route, changed, dropped, cleared = Turns(self._turns, self._homes), [provider, model], {}, 0, live is None
-        for e in sorted(rows, key=lambda r: r["seq"]):
+        held = self._session.get()
+        seen, provider, model, life, live = held or (-1, "unknown", "unknown", None, None)
+        turns, route, changed, dropped, cleared = Turns(self._turns, self._homes, held is None), [provider, model], {}, 0, live is None
+        for e in sorted((Event(json.loads(r["event"])) for r in rows), key=lambda e: e["seq"]):
             seq, same = e["seq"], live is None or e["workspace"] == life
             if e["kind"] == "disposed" and not same:
                 continue
             if not same:  # another life of the session
                 self._clear()
-                seen, route, live, turns = -1, ["unknown", "unknown"], False, Turns(self._turns, self._homes)
+                seen, route, live, turns = -1, ["unknown", "unknown"], False, Turns(self._turns, self._homes, True)
             if seq <= seen:
                 dropped += 1
                 continue
             seen, life, cleared, live = seq, e["workspace"], False, bool(live)
             if e["kind"] == "disposed":
                 self._clear()
-                seen, route, live, turns, cleared = -1, ["unknown", "unknown"], None, Turns(self._turns, self._homes), True
+                seen, route, live, turns, cleared = -1, ["unknown", "unknown"], None, Turns(self._turns, self._homes, True), True
                 continue
             if e["kind"] in ("header", "context"):
                 route = [e["provider"], e["model"]]
@@ -136,12 +186,12 @@ class CallFold(StatefulProcessor):
                     c["seq"] = seq
                     changed[name] = turn, c, life
         for name, (turn, c, workspace) in changed.items():
-            yield Row(**blank | {
-                "workspace": workspace, "attempt_id": name, "turn": turn, "step": c["step"], "provider": c["provider"], "model": c["model"], "started_at": c["at"], "outcome": c["outcome"],
+            yield Row(**blank | {"workspace": workspace, "call": json.dumps({
+                "attempt_id": name, "turn": turn, "step": c["step"], "provider": c["provider"], "model": c["model"], "started_at": c["at"], "outcome": c["outcome"],
                 "retry_scheduled": c["retried"], "provisional": c["prov"], "final": c["fin"], "first_seq": c["first"], "last_seq": c["seq"],
-            })
+            })})
         if dropped:
-            yield Row(**blank | {"workspace": life, "last_seq": seen, "dropped": dropped})
+            yield Row(**blank | {"workspace": life, "call": json.dumps({"last_seq": seen}), "dropped": dropped})
         if not cleared:
             self._session.update((seen, *route, life, live))
             turns.write()
@@ -159,7 +209,7 @@ class CallFold(StatefulProcessor):
             state.clear()
 
     @staticmethod
-    def _apply(turns: Turns, route: list, e: Row) -> tuple[int, str] | None:
+    def _apply(turns: Turns, route: list, e: Event) -> tuple[int, str] | None:
         """The call that an event changes, as its turn and id, if any."""
         kind, turn, step = e["kind"], e["turn"], str(e["step"])
         if kind not in ("start", "end", "chunk", "message", "retry"):
@@ -251,12 +301,14 @@ def stream_calls(log: DataFrame, headers: DataFrame, cursor: DataFrame | None =
     rows = rows.join(own, ["session_id", "created_at"], "left")
     if disposals is not None:
         rows = rows.unionByName(disposals.select("session_id", "created_at", "workspace", "seq", F.lit("disposed").alias("kind")), allowMissingColumns=True)
+    rows = rows.select("session_id", "created_at", F.coalesce("bad", F.to_json(F.struct(*columns[2:], "workspace", "seed_length"))).alias("event"))
     seeds = None if cursor is None else _initial(headers, cursor, calls).groupBy("session_id", "created_at")
     out = rows.groupBy("session_id", "created_at").transformWithState(CallFold(idle), _OUT, "Update", "None" if idle is None else "ProcessingTime", seeds)
 
     def used(c: str):
         return F.when(F.col(c).isNotNull(), F.struct(*[F.get(c, F.lit(i)).alias(n) for i, n in enumerate(USAGE)]))
 
+    out = out.withColumn("c", F.from_json("call", _CALL)).select("session_id", "created_at", "workspace", "c.*", "dropped", "bad")
     full = out.withColumn("day", utc_day("started_at")).withColumn("provisional_usage", used("provisional")).withColumn("final_usage", used("final"))
     return full.select(*names(CALLS), *names(PROGRESS), "dropped", "bad")
 
