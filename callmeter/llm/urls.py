@@ -21,6 +21,8 @@ class Rule(NamedTuple):
 GIVEN = (Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow"))
 _URL = r"://([^/?#]*)([^?#]*)([\s\S]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Frequent tokens up to which a row's combinations are all counted.
+WHOLE = 10
 RULES = "name string, antecedent array<string>, verdict string, confidence double, support long, size int, key string"
 
 
@@ -61,13 +63,41 @@ def matches(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return sets.withColumn("key", F.explode("tokens")).join(rules, "key").where(F.size(F.array_except("antecedent", "tokens")) == 0)
 
 
-def mine(spark: SparkSession, labelled: DataFrame, min_support: float = 0.002, min_count: int = 8, min_confidence: float = 0.9, items: int = 10) -> DataFrame:
+def deciding_sets(spark: SparkSession, told: DataFrame, least: float) -> DataFrame:
+    """The sets of tokens that rules can have, of rows (row, verdict, token) of any length: antecedent (sorted), n (rows that
+    hold it), b (blocked ones among them).
+
+    Left out is what mine would drop, and with it all that is wider: sets with neither verdict in `least` rows, those that
+    as many rows hold as hold one with a token less, and those beyond a set whose rows all have one verdict. Sets grow by a
+    token a round, from two of the same row that differ in their last.
+    """
+    pairs = stored(spark, told.select("row", (F.col("verdict") == "block").cast("long").alias("blocked"), F.array("token").alias("antecedent")))
+    known, found = None, None
+    while True:
+        counts = pairs.groupBy("antecedent").agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("b")).where(F.greatest(F.col("b"), F.col("n") - F.col("b")) >= least)
+        if known is not None:
+            less = counts.select("antecedent", "n", F.explode("antecedent").alias("token")).select("antecedent", "n", F.array_remove("antecedent", F.col("token")).alias("less"))
+            inner = less.join(known.select(F.col("antecedent").alias("less"), F.col("n").alias("less_n")), "less").groupBy("antecedent").agg(F.count(F.lit(1)).alias("k"), F.bool_and(F.col("less_n") > F.col("n")).alias("free"))
+            counts = counts.join(inner.where("free and k = size(antecedent)").select("antecedent"), "antecedent", "left_semi")
+        counts = stored(spark, counts)
+        found = counts if found is None else found.unionByName(counts)
+        known = counts.where("b > 0 and b < n")
+        if known.isEmpty():
+            return found
+        held = stored(spark, pairs.join(known.select("antecedent"), "antecedent", "left_semi").select("row", "blocked", F.expr("slice(antecedent, 1, size(antecedent) - 1)").alias("start"), F.element_at("antecedent", -1).alias("token")))
+        other = held.select("row", "start", F.col("token").alias("next"))
+        pairs = stored(spark, held.join(other, ["row", "start"]).where("token < next").select("row", "blocked", F.concat("start", F.array("token", "next")).alias("antecedent")))
+
+
+def mine(spark: SparkSession, labelled: DataFrame, min_support: float = 0.002, min_count: int = 8, min_confidence: float = 0.9, items: int | None = None) -> DataFrame:
     """Association rules from labelled rows (row, tokens, verdict): name, antecedent, verdict, confidence, support (rows
     with both), size, and key, the antecedent's rarest token.
 
-    FP-growth runs over each row's verdict and its `items` most telling frequent tokens, so that a row has 2^items
-    combinations at most. A rule needs min_support of the rows, min_count rows at least, and min_confidence; and it is
-    dropped where a rule for the same verdict with fewer of its tokens is as confident.
+    All of a row's frequent tokens count. FP-growth runs over them and the verdict where no row has more than WHOLE, and so
+    2^WHOLE combinations; where one has, sets that can't matter are left out as they grow (see deciding_sets), with the same
+    rules. A rule needs min_support of the rows, min_count rows at least, and min_confidence; and it is dropped where a rule
+    for the same verdict with fewer of its tokens is as confident. items: of each row only so many tokens, the most
+    telling; by default all.
     """
     total, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("verdict") == "block").cast("long")), F.lit(0))).first()
     least = max(min_support * total, min_count)
@@ -75,15 +105,22 @@ def mine(spark: SparkSession, labelled: DataFrame, min_support: float = 0.002, m
         return spark.createDataFrame([], RULES)
     frequent = stored(spark, frequent_tokens(labelled, least, blocked, total))
     told = labelled.select("row", "verdict", F.explode("tokens").alias("token")).join(frequent, "token")
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("tells")).alias("tells"), "token"))), 1, items)
-    baskets = stored(spark, told.groupBy("row", "verdict").agg(best.alias("best")).select(F.concat(F.col("best.token"), F.array(F.concat(F.lit("="), "verdict"))).alias("items")))
-    n = baskets.count()
+    best = F.sort_array(F.collect_list(F.struct((-F.col("tells")).alias("tells"), "token")))
+    best = best if items is None else F.slice(best, 1, items)
+    baskets = stored(spark, told.groupBy("row", "verdict").agg(best.alias("best")).select("row", "verdict", F.concat(F.col("best.token"), F.array(F.concat(F.lit("="), "verdict"))).alias("items")))
+    n, longest = baskets.agg(F.count(F.lit(1)), F.max(F.size("items"))).first()
     if n < least:
         return spark.createDataFrame([], RULES)
-    model = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=min_confidence).fit(baskets)
     then = F.col("consequent")[0]
-    found = model.associationRules.where(then.startswith("=")).select(
-        F.concat_ws(" ", then, F.array_sort("antecedent")).alias("name"), "antecedent", F.substring(then, 2, 5).alias("verdict"), "confidence", F.round(F.col("support") * n).cast("long").alias("support"), F.size("antecedent").alias("size"),
+    if longest - 1 <= WHOLE:
+        model = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=min_confidence).fit(baskets)
+        found = model.associationRules.where(then.startswith("=")).select("consequent", "antecedent", "confidence", F.round(F.col("support") * n).cast("long").alias("support"))
+    else:
+        sets = deciding_sets(spark, baskets.select("row", "verdict", F.explode("items").alias("token")).where(~F.startswith("token", F.lit("="))), least)
+        each = F.explode(F.array(*[F.struct(F.array(F.lit(f"={v}")).alias("consequent"), rows.alias("support")) for v, rows in (("block", F.col("b")), ("allow", F.col("n") - F.col("b")))])).alias("r")
+        found = sets.select("antecedent", "n", each).select("r.*", "antecedent", (F.col("r.support") / F.col("n")).alias("confidence")).where((F.col("support") >= least) & (F.col("confidence") >= min_confidence))
+    found = found.select(
+        F.concat_ws(" ", then, F.array_sort("antecedent")).alias("name"), "antecedent", F.substring(then, 2, 5).alias("verdict"), "confidence", "support", F.size("antecedent").alias("size"),
     )
     rarest = found.select("name", F.explode("antecedent").alias("token")).join(frequent, "token").groupBy("name").agg(F.min_by("token", F.struct("token_rows", "token")).alias("key"))
     found = stored(spark, found.join(rarest, "name"))
